@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexengine.llm import quality_rules
+from lexengine.llm import language_id, mixing, quality_model, quality_rules
 from lexengine.llm.common import documents
 from lexengine.llm.exact_dedup import exact_dedup
 
@@ -11,6 +11,18 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op2_mix_sources(spark, sf_dir):
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
@@ -21,5 +33,5 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_quality_classifier, op8_language_id, op9_quality_rules)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": quality_rules.oracle()}
