@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,7 +44,31 @@ def staged(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so as the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as id, key and text: the key is the id where it is a unique integer, else a number given to each row of a copy."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        if own.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+            return own.withColumn("key", F.col("id").cast("long"))
+    return staged(own.withColumn("key", F.monotonically_increasing_id()))
 
 
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:

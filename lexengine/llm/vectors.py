@@ -32,8 +32,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def chunks(column: pa.Array, most: int = 1 << 20):
-    """(first row, bytes, offsets) of runs of rows with about most bytes; a null is empty."""
-    column = column.fill_null("").cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column.fill_null("")
+    """(first row, bytes, offsets) of runs of rows with about most bytes, of strings or binaries; a null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, off, data = column.buffers()
     off = np.frombuffer(off, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
