@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexengine.llm import language_id, mixing, quality_model, quality_rules, repeats
+from lexengine.llm import language_id, mixing, near_dedup, quality_model, quality_rules, repeats
 from lexengine.llm.common import documents
 from lexengine.llm.exact_dedup import exact_dedup
 
@@ -19,6 +19,10 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_model.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_minhash_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir), size=4)
+
+
 def op7_remove_repeats(spark, sf_dir):
     return repeats.remove_repeats(documents(spark, sf_dir))
 
@@ -37,5 +41,5 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_quality_classifier, op7_remove_repeats, op8_language_id, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_quality_classifier, op4_minhash_near_dedup, op7_remove_repeats, op8_language_id, op9_quality_rules)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op9_quality_rules": quality_rules.oracle()}
