@@ -270,3 +270,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
         rows = rows.select("id", "n_shingles", F.coalesce("component", "key").alias("component_id"))
         rows = rows.withColumn("kept", F.col("id") == F.col("component_id"))
     return rows.withColumnRenamed("id", id_col)
+
+
+def without_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies, in docs' columns. Texts without words stay."""
+    cols = docs.columns
+    if docs.groupBy(id_col).count().filter(f"count > 1 OR `{id_col}` IS NULL").isEmpty():
+        kept = near_duplicates(docs, id_col, text_col, size, similarity).filter("kept").select(F.col(id_col).alias("kept__"))
+        return docs.join(kept, docs[id_col] == kept["kept__"], "left_semi")
+    own = staged(docs.withColumn("uid__", F.monotonically_increasing_id()))
+    kept = near_duplicates(own, "uid__", text_col, size, similarity).filter("kept").select("uid__")
+    return own.join(kept, "uid__", "left_semi").select(*cols)
