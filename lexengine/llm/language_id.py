@@ -47,40 +47,53 @@ def _counted(pairs_of):
                 if len(held) > _FLUSH:
                     yield out()
                     held.clear()
-        yield out()
+        if held:
+            yield out()
 
     return run
 
 
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+    """Log frequencies by language: a matrix's rows, and where the rows of words and of n-grams are."""
 
-    def of_word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word by language."""
-        if (known := self.words.get(word)) is not None:
-            return known
+    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+        self.langs = langs
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams = {g: i for i, g in enumerate(grams)}
+        self.of_words = np.array(list(words.values()), dtype=np.float64).reshape(len(words), len(langs))
+        self.of_grams = np.array(list(grams.values()), dtype=np.float64).reshape(len(grams), len(langs))
+
+    def backed_off(self, word: str) -> np.ndarray:
+        """Of an unseen word: the mean of its n-grams, of the longest order of which any is known."""
         for n in ORDERS:
-            if found := [v for g in grams_of(word, n) if (v := self.grams.get(g)) is not None]:
-                return np.mean(found, axis=0)
+            if found := [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]:
+                return self.of_grams[found].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
-        memo: dict[str, np.ndarray] = {}
-        said, score = [], []
+        # rows of unseen words are added behind those of the known ones
+        rows, at, said, score = self.of_words.copy(), dict(self.words), [], []
+        used = known = len(rows)
         for text in texts:
             words = words_of(text) if text else []
             if not words or not self.langs:
                 said.append(UNKNOWN)
                 score.append(0.0)
                 continue
-            total = np.zeros(len(self.langs))
-            for word, n in Counter(words).items():
-                if (v := memo.get(word)) is None:
-                    if len(memo) > _FLUSH:
-                        memo.clear()
-                    v = memo[word] = self.of_word(word)
-                total += n * v
+            if used > known + _FLUSH:
+                at, used = dict(self.words), known
+            own = list(map(at.get, words))
+            if None in own:
+                for k, i in enumerate(own):
+                    if i is None:
+                        if (i := at.get(words[k])) is None:
+                            if used == len(rows):
+                                rows = np.concatenate([rows, np.zeros((max(used, 1024), len(self.langs)))])
+                            rows[used] = self.backed_off(words[k])
+                            i = at[words[k]] = used
+                            used += 1
+                        own[k] = i
+            total = rows[own].sum(axis=0)
             p = np.exp(total - total.max())
             p /= p.sum()
             best = int(p.argmax())
@@ -137,10 +150,17 @@ def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = shared.value
-        for batch in batches:
-            said, score = model.predict(batch["t"])
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": said, "score": score})
+        ids = []
+
+        def texts():
+            for batch in batches:
+                ids.append(batch["id"])
+                yield from batch["t"]
+
+        # one call for the partition keeps what it learned of unseen words; its results are small
+        said, score = shared.value.predict(texts())
+        if said:
+            yield pd.DataFrame({"id": pd.concat(ids, ignore_index=True), "lang_pred": said, "score": score})
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
