@@ -172,14 +172,17 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     return out.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source_no")
 
 
-def mixed_documents(docs: DataFrame, text_col="text", source_col="source", count_col: str | None = "n_chars", **params) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", count_col: str | None = "n_chars", **params) -> DataFrame:
     """The mix as rows in docs' columns: of every document a row for each pass that takes words of it.
 
     A pass that takes all words keeps the text as it is; otherwise the text is the taken stretches, a line each.
-    count_col, if docs have it, is set to the new text's length.
+    count_col, if docs have it, is set to the new text's length. Rows that repeat an id are documents of their own.
     """
     spark, cols = docs.sparkSession, docs.columns
-    own = staged(docs.withColumn("uid__", F.monotonically_increasing_id()))
+    if docs.groupBy(id_col).count().filter(f"count > 1 OR `{id_col}` IS NULL").isEmpty():
+        own = docs.withColumn("uid__", F.col(id_col).cast("long"))
+    else:
+        own = staged(docs.withColumn("uid__", F.monotonically_increasing_id()))
     mix = Mix(own, ["uid__"], text_col, source_col, **params)
     times = mix.mixed().groupBy("source_no", "before", "first", "words").count()
     # stretches of one document: as many as it has blocks
