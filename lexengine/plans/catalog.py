@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexengine.functions import inflections, text as T
 from lexengine.operators import deinflect, entries, lookup, tokens
 from lexengine.plans import model as M
+from lexengine.plans import translate
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -462,5 +463,28 @@ def furigana_segments(spark, d):
     return tokens.furigana_table(_batch(spark, tokens.READINGS, "pos int, term string, reading string, pitch int"))
 
 
+#: Texts that users point at, in English and German.
+TEXTS = ["blue anvils on", "Small rings", "bolts", "RED WIDGET x", "nothing here"]
+
+
+def _lookup_terms(spark, d):
+    return M.terms(spark, d).withColumn("rules", F.array(F.lit("n"), F.lit("np")))
+
+
+@query(None)
+def find_terms_group(spark, d):
+    """The full lookup of a few texts: substrings, case variants, English deinflection, grouping by headword, ranking."""
+    t = _lookup_terms(spark, d)
+    out = translate.find_terms(_batch(spark, TEXTS, "query_id int, text string"), t, "en", "group", frequency=entries.sort_frequency(t, M.frequencies(spark, d), "R"))
+    return out.withColumn("expressions", F.array_join("expressions", ","))
+
+
+@query(None)
+def find_terms_merge(spark, d):
+    """The same, merged by the sequences of one dictionary."""
+    out = translate.find_terms(_batch(spark, TEXTS, "query_id int, text string"), _lookup_terms(spark, d), "en", "merge", main="ECONOMY", most=10)
+    return out.withColumn("expressions", F.array_join("expressions", ","))
+
+
 def entry(spark, sf_dir):
     return rank_results(spark, sf_dir)
