@@ -58,7 +58,8 @@ def test_furigana():
 def test_sentence():
     assert T.sentence_at("One. Two is here! Three", 7) == ("Two is here!", 2)
     assert T.sentence_at("first\nsecond", 8) == ("second", 2)
-    assert T.sentence_at("「中。身」です。次", 2)[0] == "中。身"
+    assert T.sentence_at("これは「中。身」です。次", 1)[0] == "これは「中。身」です。"
+    assert T.sentence_at("「中。身」です。次", 2)[0] == "中。"
     assert T.sentence_at("", 0) == ("", 0)
 
 
