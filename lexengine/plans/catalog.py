@@ -290,7 +290,7 @@ def _deinflect(name: str):
     query(_deinflect_sql(name))(run)
 
 
-for _name in inflections.LANGUAGES:
+for _name in ("en", "de", "es", "fr"):
     _deinflect(_name)
 
 
