@@ -1,6 +1,6 @@
 from lexengine.functions import japanese as J
 from lexengine.functions import text as T
-from lexengine.functions.inflections import ENGLISH, GERMAN, JAPANESE, SPANISH
+from lexengine.functions.inflections import ENGLISH, GERMAN, JAPANESE, LANGUAGES, SPANISH
 from lexengine.operators import tokens
 from lexengine.operators.deinflect import Language, closure
 
@@ -16,6 +16,8 @@ import pytest
         (JAPANESE, "打ち込んでいませんでした", "打ち込む", "-て"), (JAPANESE, "食べられなかった", "食べる", "potential or passive"),
         (JAPANESE, "行って", "行く", "-て"), (JAPANESE, "高くなければ", "高い", "negative"), (JAPANESE, "のたもうた", "のたまう", "-た"),
         (JAPANESE, "読んじゃう", "読む", "-ちゃう"), (JAPANESE, "来させる", "来る", "causative"), (JAPANESE, "しよう", "する", "volitional"),
+        (LANGUAGES["eo"], "malbonajn", "bona", "mal-"), (LANGUAGES["la"], "populi", "populus", "plural"), (LANGUAGES["ga"], "mbean", "bean", "eclipsis"),
+        (LANGUAGES["eu"], "etxearekin", "etxe", "Comitative Singular"), (LANGUAGES["sq"], "punova", "punuaj", "aorist first-person singular indicative"),
         (SPANISH, "hablamos", "hablar", "present indicative"), (SPANISH, "canciones", "canción", "plural"),
     ],
 )
