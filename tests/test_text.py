@@ -78,3 +78,25 @@ def test_replacements():
 def test_segments():
     assert tokens.segments("the catx", {"the", "cat", "c"}, 3) == [(0, 3, True), (3, 4, False), (4, 7, True), (7, 8, False)]
     assert tokens.segments("", {"a"}, 1) == []
+
+
+def test_notes(spark):
+    from pyspark.sql import functions as F
+
+    from lexengine.functions import notes as N
+
+    row = spark.createDataFrame([("a::b", "{x} and {y-1}", "<a='`>", "https://M.Example.com/a", 2, ["shift"])], "deck string, field string, raw string, url string, level int, keys array<string>")
+    context = {"url": F.col("url"), "popupLevel": F.col("level"), "modifierKeys": F.col("keys")}
+    out = row.select(
+        N.root_deck(F.col("deck")).alias("root"), N.field_markers(F.col("field")).alias("markers"), N.escaped(F.col("raw")).alias("escaped"),
+        N.first_match([[("url", "matchDomain", "m.example.com"), ("popupLevel", "greaterThan", 1)]], context).alias("yes"),
+        N.first_match([[], [("modifierKeys", "are", "ctrl")]], context).alias("no"),
+        N.first_match([[("modifierKeys", "notInclude", "ctrl"), ("unknown", "x", "y")]], context).alias("skipped"),
+        N.primary_segment(F.lit("食べ物を買う。次")).alias("segment"), N.lookup_worthy(F.lit("abc"), "ja").alias("worthy"),
+    ).collect()[0]
+    assert (out.root, out.markers, out.escaped) == ("a", ["x", "y-1"], "&lt;a&#x3D;&#x27;&#x60;&gt;")
+    assert out.yes and not out.no and out.skipped and out.segment == "食べ物" and not out.worthy
+    parts = J.furigana("打ち込む", "うちこむ")
+    assert N.furigana_plain(parts) == "打[う]ち 込[こ]む"
+    assert N.furigana_html(parts) == "<ruby>打<rt>う</rt></ruby>ち<ruby>込<rt>こ</rt></ruby>む"
+    assert N.cloze("one two three", 4, "two") == {"prefix": "one ", "body": "two", "suffix": " three"}
