@@ -119,3 +119,54 @@ ALBANIAN = Language(
         **{name: [*_pairs(plain, (), ["v"]), *map(_not_after_j, others.split())] for name, (plain, others) in _ALBANIAN.items()},
     },
 )
+
+#: Forms of Ancient Greek words, written without accents.
+_GREEK_VERBS = {
+    "2nd person singular present active indicative": "εις>ω εις>εω", "3rd person singular present active indicative": "ει>ω ει>εω", "1st person plural present active indicative": "ομεν>ω",
+    "2nd person plural present active indicative": "ετε>ω", "3rd person plural present active indicative": "ουσι>ω ουσιν>ω", "2nd person singular present middle indicative": "ῃ>ομαι ει>ομαι",
+    "3rd person singular present middle indicative": "εται>ομαι", "1st person plural present middle indicative": "ομεθα>ομαι", "2nd person plural present middle indicative": "εσθε>ομαι",
+    "3rd person plural present middle indicative": "ονται>ομαι", "nominalization": "ος>εω",
+}
+_GREEK_NOUNS = {
+    "genitive singular": "ου>ος ας>α ου>ας ου>ον ης>η", "dative singular": "ω>ος α>ας ω>ον", "accusative singular": "ον>ος αν>α αν>ας ην>η", "vocative singular": "ε>ος α>ας η>η",
+    "nominative plural": "οι>ος αι>α αι>ας α>ον αι>η", "genitive plural": "ων>ος ων>α ων>ας ων>ον ων>η", "dative plural": "οις>ος αις>α αις>ας οις>ον αις>η",
+    "accusative plural": "ους>ος ας>α α>ον ας>η", "vocative plural": "οι>ος αι>α αι>ας α>ον αι>η",
+}
+ANCIENT_GREEK = Language(
+    "grc", {"v": (), "n": (), "adj": ()},
+    {
+        **{name: _pairs(forms, (), ["v"]) for name, forms in _GREEK_VERBS.items()}, **{name: _pairs(forms, (), ["n"]) for name, forms in _GREEK_NOUNS.items()},
+        "accusative singular masculine": [_s("ον", "ος", (), ["adj"])],
+    },
+)
+
+#: Yiddish vowels as they are changed and as they were, and letters that count as vowels.
+_UMLAUTS = (("ע", "אַ"), ("ע", "אָ"), ("ע", "א"), ("ױ", "ע"), ("ײ", "ױ"), ("י", "ו"))
+_YIDDISH_VOWELS = "עװאאַױוײיִײַיאָ"
+
+
+def _umlaut(ending: str, needs, gives):
+    """Rules that drop an ending and take back the change of the last vowel."""
+
+    def one(new: str, old: str):
+        def back(text: str) -> str:
+            last = max(text.rfind(v) for v in _YIDDISH_VOWELS)
+            return text[:last] + old + text[last + 1 : len(text) - len(ending)] if last >= 0 and text[last] == new else ""
+
+        return Rule("other", f"{ending}\\Z", back, tuple(needs), tuple(gives))
+
+    return [one(new, old) for new, old in _UMLAUTS]
+
+
+YIDDISH = Language(
+    "yi",
+    {"v": ("vpast", "vpresent"), "vpast": (), "vpresent": (), "n": ("np", "ns"), "np": (), "ns": (), "adj": (), "adv": ()},
+    {
+        "plural": [_s(x, "", ["np"], ["ns"]) for x in "ס ן ים ער עך ען עס ות נס ערען ענעס ענס ערס".split()],
+        "umlaut_plural": [r for x in "ער עס ים ען ן ס עך ערס".split() for r in _umlaut(x, ["np"], ["ns"])],
+        "diminutive": [_s(x, "", ["n"], ["n"]) for x in "טשיק קע ל עלע".split()],
+        "diminutive_and_umlaut": [r for x in "ל עלע".split() for r in _umlaut(x, ["n"], ["n"])],
+        "verb_present_singular_to_first_person": [_s(x, "", ["v"], ["vpresent"]) for x in "סט ט נדיק".split()],
+        "verb_present_plural_to_first_person": _pairs("טס>נ ט>נ", ["v"], ["vpresent"]),
+    },
+)
