@@ -58,9 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, in docs' columns. Rows that repeat an id and its text count once."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), "text_sha256")
-    kept = staged(kept)
-    same = F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("text_sha256"))
+    kept = staged(exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id__"), F.col("text_sha256").alias("kept_sha__")))
+    same = F.col(id_col).eqNullSafe(F.col("kept_id__")) & (F.sha2(normalised(F.col(text_col)), 256) == F.col("kept_sha__"))
     found = docs.join(kept, same, "left_semi").select(*docs.columns)
     if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
         return found

@@ -31,7 +31,8 @@ PATTERNS = {
     "card": r"(?<![\w.+\-])(?:\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}|\d{13,19})(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)",
-    "phone": r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]\d{2,4})?(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
+    # nine digits at least, and no date
+    "phone": r"(?<![\w.+])(?!\d{4}-\d{2}-\d{2}(?!\d))(?=(?:[+ .()\-]{0,3}\d){9})(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,5}\)[ .\-]?|\d{2,5}[ .\-])\d{2,4}[ .\-]?\d{2,4}(?:[ .\-]\d{2,4})?(?!\w)|(?<!\w)\+\d{8,15}(?!\w)",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
 #: Texts without any of these have no entity.

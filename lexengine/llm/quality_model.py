@@ -91,7 +91,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
     one, zero = (known.filter(F.col("label") == y).orderBy(*order).limit(sample) for y in (1, 0))
-    chosen = docs.join(F.broadcast(one.unionByName(zero)), docs[id_col] == F.col("id")).select("id", "label", F.col(text_col).alias("t"))
+    own = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("t"))
+    chosen = own.join(F.broadcast(one.unionByName(zero)), F.col("own") == F.col("id")).select("id", "label", "t")
 
     def encode(batches):
         for b in batches:
