@@ -84,3 +84,28 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
 def held_out(doc_id: Column) -> Column:
     """Rows that no model learns from: crc32 of the id's decimal text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def most_frequent(counts: DataFrame, most: int, count_col: str = "n") -> DataFrame:
+    """The rows of the largest counts, at most so many: those above a count that leaves no more. Equal counts stay together.
+
+    The bound is found from how many counts there are in each eighth of a doubling, so no task gathers candidates.
+    """
+    part = F.floor(F.log2(F.col(count_col).cast("double")) * 8 + 1e-9)
+    sizes = {r.part: r["count"] for r in counts.groupBy(part.alias("part")).count().collect() if r.part is not None}
+    least, total = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        if (total := total + sizes[k]) > most:
+            break
+        least = k
+    return counts.filter(part >= least)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and right joined on keys, so that Spark can split the rows of a frequent key.
+
+    It can't where a side is grouped by the same keys and is not dealt out again for the join; one more key, made of
+    the others, makes it deal both out.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(2)).alias("part__")
+    return left.select("*", part).join(right.select("*", part), [*keys, "part__"], how).drop("part__")
