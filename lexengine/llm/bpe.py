@@ -13,20 +13,22 @@ import base64
 import heapq
 import json
 import zlib
-from collections import Counter
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import arrow_rows
+from lexengine.llm.common import arrow_rows, most_frequent, staged
 
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
 _BUCKETS = 8192
-_FLUSH = 200_000
+_FLUSH = 400_000
 #: White space as the tokenizer's library has it; Python's own class has four more characters.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -100,6 +102,20 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a word, as ``encoded`` has them; n log n for long ones."""
     if (own := ranks.get(word)) is not None:
         return [own]
+    if len(word) <= 64:
+        # a merged piece's rank is its id, so ids are kept in place of pieces
+        get, none, edge = ranks.get, 1 << 60, list(range(len(word) + 1))
+        ids = [ranks[word[i : i + 1]] for i in range(len(word))]
+        found = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
+        while found and (best := min(found)) < none:
+            i = found.index(best)
+            ids[i] = best
+            del edge[i + 1], found[i], ids[i + 1]
+            if i < len(found):
+                found[i] = get(word[edge[i] : edge[i + 2]], none)
+            if i:
+                found[i - 1] = get(word[edge[i - 1] : edge[i + 1]], none)
+        return ids
     end = list(range(1, len(word) + 1))  # of the piece at each place; 0 once it is merged away
     before = list(range(-1, len(word) - 1))
     heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -122,34 +138,20 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
-    """word, n: the pattern's matches over all texts."""
-    arrow_rows(docs.sparkSession)
+    """word, n: the pattern's matches over all texts. They are counted before they are dealt out."""
+    words = F.explode(F.regexp_extract_all(F.col(text_col), F.lit("(?U)" + pattern), F.lit(0)))
+    return docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
-    def run(batches):
-        find, held = matcher(pattern).findall, Counter()
 
-        def out():
-            return pd.DataFrame({"word": list(held), "n": list(held.values())})
-
-        for b in batches:
-            for text in b["text"]:
-                held.update(find(text))
-                if len(held) > _FLUSH:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", words=WORDS) -> dict[str, list[int]]:
-    """The ids of the most frequent words."""
-    top = word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(words)
-    # the limit leaves one partition; the fold is shared out again
-    table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids"))
-    found = table.toArrow()
-    return dict(zip(found["word"].to_pylist(), found["ids"].to_pylist()))
+def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", words=WORDS) -> bytes:
+    """The most frequent words with their ids, as an Arrow stream: Python objects for each would burden the driver."""
+    counts = staged(word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= WORD_BYTES))
+    top = most_frequent(counts, words)
+    table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids")).toArrow()
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", ids_col="ids", words=WORDS) -> DataFrame:
@@ -163,19 +165,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
     shared = spark.sparkContext.broadcast((frequent_words(docs, ranks, pattern, text_col, words), ranks))
 
     @F.pandas_udf("array<int>")
-    def ids_of(column: pd.Series) -> pd.Series:
-        known, ranks = shared.value
-        find, rare, out = matcher(pattern).findall, {}, []
-        for text in column:
-            ids: list[int] = []
-            for word in find(text) if text else ():
-                if (own := known.get(word)) is None and (own := rare.get(word)) is None:
-                    if len(rare) > _FLUSH:
-                        rare.clear()
-                    own = rare[word] = merge(word.encode(), ranks)
-                ids += own
-            out.append(np.array(ids, dtype=np.int32))
-        return pd.Series(out, dtype=object)
+    def ids_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        stream, ranks = shared.value
+        table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+        known: dict[str, bytes] = {}
+        for chunk in table.to_batches():
+            packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
+            known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
+        find, rare = matcher(pattern).findall, {}
+        for column in columns:
+            out = []
+            for text in column:
+                words = find(text) if text else []
+                parts = list(map(known.get, words))
+                k = 0
+                for _ in range(parts.count(None)):
+                    k = parts.index(None, k)
+                    if (part := rare.get(words[k])) is None:
+                        if len(rare) > _FLUSH:
+                            rare.clear()
+                        part = rare[words[k]] = array("i", merge(words[k].encode(), ranks)).tobytes()
+                    parts[k] = part
+                out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
+            yield pd.Series(out, dtype=object)
 
     return docs.withColumn(ids_col, ids_of(F.coalesce(F.col(text_col), F.lit(""))))
 
