@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import arrow_rows, held_out, staged
+from lexengine.llm.common import arrow_rows, held_out, most_frequent, staged
 
 #: Entries that a model holds at most, by count over all of the corpus; they bound the broadcast.
 MOST_WORDS, MOST_GRAMS, ORDERS = 50_000, 60_000, (5, 4, 3, 2, 1)
@@ -54,14 +57,19 @@ def _counted(pairs_of):
 
 
 class Model:
-    """Log frequencies by language: a matrix's rows, and where the rows of words and of n-grams are."""
+    """Log frequencies by language: a matrix's rows, for words and for n-grams. Look-up tables are made where it is used."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs = langs
-        self.words = {w: i for i, w in enumerate(words)}
-        self.grams = {g: i for i, g in enumerate(grams)}
-        self.of_words = np.array(list(words.values()), dtype=np.float64).reshape(len(words), len(langs))
-        self.of_grams = np.array(list(grams.values()), dtype=np.float64).reshape(len(grams), len(langs))
+    def __init__(self, langs: list[str], words: pa.Array, of_words: np.ndarray, grams: pa.Array, of_grams: np.ndarray):
+        self.langs, self._words, self._grams = langs, words, grams
+        self.of_words, self.of_grams = of_words, of_grams
+
+    @cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self._words.to_pylist())}
+
+    @cached_property
+    def grams(self) -> dict[str, int]:
+        return {g: i for i, g in enumerate(self._grams.to_pylist())}
 
     def backed_off(self, word: str) -> np.ndarray:
         """Of an unseen word: the mean of its n-grams, of the longest order of which any is known."""
@@ -102,23 +110,18 @@ class Model:
         return said, score
 
 
-def _logs(rows, langs: list[str], totals: dict) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies of the collected entries; totals: by language."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    base = np.array([np.log(totals.get(lang, 0) + 0.5 * len(rows) + 1) for lang in langs])
-    out = {}
-    for r in rows:
-        n = np.full(len(langs), 0.5)
-        for lang, c in r.by.items():
-            n[at[lang]] += c
-        out[r.entry] = np.log(n) - base
-    return out
+def _top(counts: DataFrame, most: int, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The most frequent entries, and their counts by language as a matrix."""
+    by = counts.groupBy("entry").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    each = F.array(*(F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(0)).cast("double") for x in langs))
+    table = most_frequent(staged(by), most).select("entry", each.alias("n")).orderBy("entry").toArrow().combine_chunks()
+    numbers = np.array(table["n"].combine_chunks().flatten()) if len(table) else np.zeros(0)
+    return table["entry"].combine_chunks(), numbers.reshape(-1, len(langs))
 
 
-def _top(counts: DataFrame, most: int):
-    """The most frequent entries with their counts by language. Ties by entry."""
-    by = counts.groupBy("entry").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return by.orderBy(F.desc("all"), "entry").limit(most).select("entry", "by").collect()
+def _logs(counts: np.ndarray, totals: list[int]) -> np.ndarray:
+    """Smoothed log frequencies."""
+    return np.log(counts + 0.5) - np.log(np.array(totals) + 0.5 * len(counts) + 1)
 
 
 def train(docs: DataFrame, text_col="text", lang_col="lang", most_words=MOST_WORDS, most_grams=MOST_GRAMS) -> Model:
@@ -129,18 +132,19 @@ def train(docs: DataFrame, text_col="text", lang_col="lang", most_words=MOST_WOR
     counts = staged(known.mapInPandas(_counted(lambda r: (r.lang, words_of(r.text))), shape).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
+    if not langs:
+        none = pa.array([], pa.string())
+        return Model([], none, np.zeros((0, 0)), none, np.zeros((0, 0)))
     grams = counts.mapInPandas(_counted(lambda r: (r.lang, [g for n in ORDERS for g in grams_of(r.entry, n)])), shape)
     grams = staged(grams.groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     # n-grams are compared within their order only; each order has its own totals
-    model: dict[str, np.ndarray] = {}
-    sized = grams.withColumn("order", F.length("entry"))
-    by_order: dict[int, dict] = {}
-    for r in sized.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect():
-        by_order.setdefault(r.order, {})[r.lang] = r.n
-    found = _top(grams, most_grams)
+    by_order = {(r.order, r.lang): r.n for r in grams.groupBy(F.length("entry").alias("order"), "lang").agg(F.sum("n").alias("n")).collect()}
+    found, numbers = _top(grams, most_grams, langs)
+    size = np.array(pc.utf8_length(found).to_pylist(), dtype=int)
     for n in ORDERS:
-        model |= _logs([r for r in found if len(r.entry) == n], langs, by_order.get(n, {}))
-    return Model(langs, _logs(_top(counts, most_words), langs, totals), model)
+        numbers[size == n] = _logs(numbers[size == n], [by_order.get((n, x), 0) for x in langs])
+    words, of_words = _top(counts, most_words, langs)
+    return Model(langs, words, _logs(of_words, [totals[x] for x in langs]), found, numbers)
 
 
 def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
