@@ -119,3 +119,37 @@ def newer(current: Column, latest: Column) -> Column:
     a, b = (F.transform(F.split(c, r"\."), lambda x: x.cast("int")) for c in (current, latest))
     numbers = current.rlike(dotted) & latest.rlike(dotted) & (F.size(a) == F.size(b))
     return F.when(numbers, a < b).otherwise(current < latest)
+
+
+def entry_sequences(terms: DataFrame, main: str) -> DataFrame:
+    """The sequence that all rows of an expression in the main dictionary share, -1 where they differ or there are none."""
+    own = F.when(F.col("dictionary") == main, F.col("sequence"))
+    return terms.groupBy("expression").agg(F.coalesce(F.when(F.min(own) == F.max(own), F.min(own)), F.lit(-1)).cast("long").alias("sequence"))
+
+
+def readings(terms: DataFrame) -> DataFrame:
+    """Each expression's readings and dictionaries, each once."""
+    return terms.groupBy("expression").agg(_listed("reading").alias("readings"), _listed("dictionary").alias("dictionaries"))
+
+
+def first_of(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """The value of the first row of each key."""
+    return rows.groupBy(key).agg(F.min_by(value, order).alias(value))
+
+
+def disambiguations(terms: DataFrame, shown: DataFrame, key: str = "reading") -> DataFrame:
+    """Expressions of each key that are not shown for it: what a reader could mistake it for."""
+    rows = terms.select(key, "expression").distinct().join(shown, [key, "expression"], "left_anti")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), _listed("expression").alias("others"))
+
+
+def frequency_runs(meta: DataFrame) -> DataFrame:
+    """The first frequency of each run of one dictionary, in the order of an entry's metadata (expression, idx); only positive ones."""
+    order = Window.partitionBy("expression").orderBy("idx")
+    changed = F.coalesce(F.lag("dictionary").over(order) != F.col("dictionary"), F.lit(True))
+    return meta.withColumn("changed", changed).filter("changed AND frequency > 0").select("expression", "idx", "dictionary", "frequency")
+
+
+def durations(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean and 95th percentile of a value."""
+    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.percentile(value, 0.95).alias("p95"), F.count("*").alias("n"))

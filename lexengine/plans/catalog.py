@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexengine.functions import inflections, text as T
+from lexengine.functions import inflections, notes as N, text as T
 from lexengine.operators import deinflect, entries, lookup, tokens
 from lexengine.plans import model as M
 from lexengine.plans import translate
@@ -441,6 +441,60 @@ def note_addible_partition(spark, d):
     return tokens.contained(M.table(spark, d, "benchmark").select("item_id", "text"), M.table(spark, d, "documents").select("text"))
 
 
+@query("SELECT o_orderkey AS note_id, min(l_linenumber) AS card FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def first_cards(spark, d):
+    cards = M.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").alias("card"))
+    notes = M.table(spark, d, "orders").select(F.col("o_orderkey").alias("note_id"))
+    return notes.join(entries.first_of(cards, "note_id", "card", "card"), "note_id", "left")
+
+
+# --- entries once more
+
+
+@query(f"""WITH {T_SQL}, s AS (SELECT expression, min(sequence) FILTER (dictionary = 'ECONOMY') AS a, max(sequence) FILTER (dictionary = 'ECONOMY') AS b FROM terms GROUP BY expression)
+SELECT expression, CASE WHEN a = b THEN a ELSE -1 END AS sequence FROM s""")
+def entry_sequences(spark, d):
+    return entries.entry_sequences(M.terms(spark, d), "ECONOMY")
+
+
+@query(f"WITH {T_SQL} SELECT expression, string_agg(DISTINCT reading, ',' ORDER BY reading) AS readings, string_agg(DISTINCT dictionary, ',' ORDER BY dictionary) AS dictionaries FROM terms GROUP BY expression")
+def unique_readings(spark, d):
+    return entries.readings(M.terms(spark, d))
+
+
+@query(f"""WITH {T_SQL}, shown AS (SELECT DISTINCT reading, expression FROM terms WHERE dictionary = 'SMALL' AND score > 45)
+SELECT reading, count(*) AS n, string_agg(expression, ',' ORDER BY expression) AS others FROM (SELECT DISTINCT reading, expression FROM terms) t
+WHERE NOT EXISTS (SELECT 1 FROM shown s WHERE s.reading = t.reading AND s.expression = t.expression) GROUP BY reading""")
+def disambiguations(spark, d):
+    t = M.terms(spark, d)
+    return entries.disambiguations(t, t.filter("dictionary = 'SMALL' AND score > 45").select("reading", "expression").distinct())
+
+
+@query(f"""WITH {T_SQL}, m AS (SELECT expression, id AS idx, dictionary, CAST(score AS BIGINT) AS frequency FROM terms),
+c AS (SELECT *, coalesce(lag(dictionary) OVER (PARTITION BY expression ORDER BY idx) <> dictionary, true) AS changed FROM m)
+SELECT expression, idx, dictionary, frequency FROM c WHERE changed AND frequency > 0""")
+def frequency_runs(spark, d):
+    return entries.frequency_runs(M.terms(spark, d).select("expression", F.col("id").alias("idx"), "dictionary", F.col("score").cast("long").alias("frequency")))
+
+
+@query("SELECT event_type, avg(value) AS mean, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")
+def batch_durations(spark, d):
+    return entries.durations(M.table(spark, d, "events").select("event_type", "value"), "event_type", "value")
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) IN ('ththre.example.com', 'm.ththth.example.net') OR regexp_matches(url, '(?i)/(EN|DE)/') AS profile FROM pages""")
+def profile_conditions(spark, d):
+    groups = [[("url", "matchDomain", "ththre.example.com, M.ththth.example.net")], [("url", "matchRegExp", "/(EN|DE)/"), ("unknown", "x", 1)], []]
+    return M.table(spark, d, "pages").select("page_id", N.first_match(groups, {"url": F.col("url")}).alias("profile"))
+
+
+@query("SELECT user_id, count(*) AS n FROM events e WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_acctbal > 0) GROUP BY user_id")
+def options_with_dictionary(spark, d):
+    """Options whose dictionary is installed; stale ones go."""
+    installed = M.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return M.table(spark, d, "events").join(installed, "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 # --- tokens and sentences: no SQL has their rules
 
 
