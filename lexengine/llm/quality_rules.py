@@ -21,7 +21,7 @@ THRESHOLDS = (
     ("word length", "word_chars", "n_words", 150, 2000, 20),
     ("symbols", "n_symbols", "n_words", None, 25, 20),
     ("stop words", "n_stop", "n_words", 2, None, 50),
-    ("repeated lines", "n_dup_lines", "n_lines", None, 30, 20),
+    ("repeated lines", "n_dup_lines", "n_lines", None, 50, 20),
 )
 
 
