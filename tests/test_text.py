@@ -17,7 +17,7 @@ import pytest
         (JAPANESE, "行って", "行く", "-て"), (JAPANESE, "高くなければ", "高い", "negative"), (JAPANESE, "のたもうた", "のたまう", "-た"),
         (JAPANESE, "読んじゃう", "読む", "-ちゃう"), (JAPANESE, "来させる", "来る", "causative"), (JAPANESE, "しよう", "する", "volitional"),
         (LANGUAGES["eo"], "malbonajn", "bona", "mal-"), (LANGUAGES["la"], "populi", "populus", "plural"), (LANGUAGES["ga"], "mbean", "bean", "eclipsis"),
-        (LANGUAGES["eu"], "etxearekin", "etxe", "Comitative Singular"), (LANGUAGES["grc"], "λογοις", "λογος", "dative plural"), (LANGUAGES["yi"], "בוכסל", "בוכס", "diminutive"), (LANGUAGES["sq"], "punova", "punuaj", "aorist first-person singular indicative"),
+        (LANGUAGES["eu"], "etxearekin", "etxe", "Comitative Singular"), (LANGUAGES["grc"], "λογοις", "λογος", "dative plural"), (LANGUAGES["ar"], "والكتاب", "كتاب", "NPref-Al"), (LANGUAGES["ar"], "سيكتبون", "كتب", "IVPref-hm"), (LANGUAGES["ar"], "كتبتم", "كتب", "PVSuff-t"), (LANGUAGES["yi"], "בוכסל", "בוכס", "diminutive"), (LANGUAGES["sq"], "punova", "punuaj", "aorist first-person singular indicative"),
         (SPANISH, "hablamos", "hablar", "present indicative"), (SPANISH, "canciones", "canción", "plural"),
     ],
 )
