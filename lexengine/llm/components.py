@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import staged, unstaged
+from lexengine.llm.common import skew_join, staged, unstaged
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -25,10 +25,10 @@ def connected_components(links: DataFrame) -> DataFrame:
         # large star: a node's larger neighbours go to the smallest around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = skew_join(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        small = skew_join(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         new = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         unstaged(edges)
         edges, old, mark = new, mark, _mark(new)

@@ -6,9 +6,11 @@ a class, whose first member stands for it. A class is posted under its coordinat
 the rarest pairs need lists (the prefix); the more frequent ones are skipped, and their collisions are counted from the
 signatures of the candidates that the lists bring together. Candidates above the threshold are confirmed on full sets.
 
-A list with many members is never expanded into all pairs. First its members meet its first one only; confirmed links
-make components; then each member meets its best match in another component, as long as that gives links; at last the
-pairs left between components are compared, in blocks, so that no link is lost.
+No list is expanded into pairs. All members of a list first meet its first one; confirmed links make components. In the
+lists that still hold several, members of different components whose signatures agree tie their components into
+clusters, by spanning edges only. At last the members of each cluster come together once, in blocks, and those of
+different components are compared by their sets, shortened to 32 bits an item, which can only raise a similarity. What
+passes is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import arrow_rows, keyed, released, staged, unstaged
+from lexengine.llm.common import arrow_rows, keyed, released, skew_join, staged, unstaged
 from lexengine.llm.components import connected_components
 
-COORDINATES, MISS = 64, 1e-9
-#: Members of a list that are compared at once.
-BLOCK = 256
+#: Coordinates that have lists, and those by which candidates are counted.
+COORDINATES, COUNTED, MISS = 64, 192, 1e-9
+#: Members of a list that are compared at once by their signatures, and of a cluster by their sets.
+LIST_BLOCK, BLOCK = 4096, 256
 
 
 def threshold(similarity: float = 0.8, coordinates: int = COORDINATES, miss: float = MISS) -> int:
@@ -62,14 +65,14 @@ def shingles(column: pa.Array, size: int):
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """COORDINATES least values, 32 bits each, of every set."""
-    seed = V.mixed(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64)).astype(np.uint32)
-    times, plus = seed[:COORDINATES, None] | np.uint32(1), seed[COORDINATES:, None]
-    out = np.full((len(sets), COORDINATES), 0xFFFFFFFF, dtype=np.uint32)
+    """COUNTED least values, 32 bits each, of every set."""
+    seed = V.mixed(np.arange(1, 2 * COUNTED + 1, dtype=np.uint64)).astype(np.uint32)
+    times, plus = seed[:COUNTED, None] | np.uint32(1), seed[COUNTED:, None]
+    out = np.full((len(sets), COUNTED), 0xFFFFFFFF, dtype=np.uint32)
     for i, x in enumerate(sets):
         small = (x >> np.uint64(32)).astype(np.uint32)
-        for a in range(0, len(small), 4096):
-            np.minimum(out[i], (small[a : a + 4096] * times + plus).min(axis=1), out=out[i])
+        for a in range(0, len(small), 1024):
+            np.minimum(out[i], (small[a : a + 1024] * times + plus).min(axis=1), out=out[i])
     return out
 
 
@@ -81,19 +84,24 @@ def _sign(size: int):
             n = np.array([len(x) for x in sets], dtype=np.int64)
             one = np.array([V.mixed(x + np.uint64(1)).sum(dtype=np.uint64) for x in sets], dtype=np.uint64)
             two = np.array([V.mixed(x * np.uint64(3) + np.uint64(2)).sum(dtype=np.uint64) for x in sets], dtype=np.uint64)
-            values = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel().view(np.int32)), COORDINATES).cast(pa.list_(pa.int32()))
+            listed = np.ascontiguousarray(sig[:, :COORDINATES]).ravel().view(np.int32)
+            values = pa.FixedSizeListArray.from_arrays(pa.array(listed), COORDINATES).cast(pa.list_(pa.int32()))
+            low = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b["id"], b["key"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), values],
-                ["id", "key", "n", "one", "two", "sig"],
+                [b["id"], b["key"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), values, low],
+                ["id", "key", "n", "one", "two", "sig", "low"],
             )
 
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, short: bool = False):
+    """Each text's set as bytes: items of 64 bits, or of 32 if short; these may stand there twice."""
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["key"], pa.array([x.tobytes() for x in shingles(b["text"], size)], pa.binary())], ["key", "items"])
+            sets = ((x >> np.uint64(32)).astype(np.uint32) if short else x for x in shingles(b["text"], size))
+            yield pa.RecordBatch.from_arrays([b["key"], pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "items"])
 
     return run
 
@@ -113,7 +121,7 @@ def _confirm(percent: int):
 
 
 def _bytes(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), COUNTED)
 
 
 def _agreeing(least: int, similarity: float):
@@ -128,40 +136,140 @@ def _agreeing(least: int, similarity: float):
     return run
 
 
-def _compared(least: int, similarity: float, best: bool):
-    """Pairs between components within a block of a list: of each member the best, or all."""
+def _groups(batches, most: int = 1 << 14, size: int = 1 << 23):
+    """Tables of whole cells (token, i, j), from rows sorted by them; about most rows or size bytes in each."""
+    held: list[pa.RecordBatch] = []
+
+    def cell(table, k):
+        return [table[c][k].as_py() for c in ("token", "i", "j")]
+
+    for b in batches:
+        held.append(b)
+        if sum(len(x) for x in held) >= most or sum(x.nbytes for x in held) >= size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            same = np.ones(len(table), dtype=bool)
+            for c, v in zip(("token", "i", "j"), cell(table, len(table) - 1)):
+                same &= table[c].to_numpy() == v
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _pairs(table, least: int, similarity: float):
+    """Rows x and y of a table of cells, of different components, whose sizes and signatures allow the similarity; in parts."""
+    comp, n, side = (table[c].to_numpy() for c in ("component", "n", "side"))
+    sig = _bytes(table["low"])
+    cells = [table[c].to_numpy() for c in ("token", "i", "j")]
+    new = np.ones(len(comp), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in cells], axis=0)
+    start = np.append(np.flatnonzero(new), len(comp))
+
+    def candidates():
+        """Rows of one cell, in pairs; those of a large cell a strip of rows at a time."""
+        for a, b in zip(start[:-1], start[1:]):
+            own = side[a:b]
+            if (own == 1).all():
+                step = max(1, 200_000 // (b - a))
+                for top in range(0, b - a, step):
+                    x, y = np.nonzero(np.arange(top, min(top + step, b - a))[:, None] < np.arange(b - a)[None, :])
+                    yield x + top + a, y + a
+            else:
+                left, right = np.flatnonzero(own == 0) + a, np.flatnonzero(own == 2) + a
+                step = max(1, 200_000 // max(len(right), 1))
+                for top in range(0, len(left), step):
+                    part = left[top : top + step]
+                    yield np.repeat(part, len(right)), np.tile(right, len(part))
+
+    def together():
+        todo, held = [], 0
+        for found in candidates():
+            todo.append(found)
+            held += len(found[0])
+            if held >= 100_000:
+                yield np.concatenate(todo, axis=1)
+                todo, held = [], 0
+        if todo:
+            yield np.concatenate(todo, axis=1)
+
+    for x, y in together():
+        ok = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]) - 1e-9)
+        x, y = x[ok], y[ok]
+        for a in range(0, len(x), 20_000):
+            ok = (sig[x[a : a + 20_000]] == sig[y[a : a + 20_000]]).sum(axis=1) >= least
+            yield x[a : a + 20_000][ok], y[a : a + 20_000][ok]
+
+
+def _spanning(least: int, similarity: float):
+    """Edges between components that hold together those which signatures tie."""
+
+    def run(batches):
+        for table in _groups(batches):
+            comp = table["component"].to_numpy()
+            root: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while (up := root.get(c, c)) != c:
+                    root[c] = c = root.get(up, up)
+                return c
+
+            out = []
+            for x, y in _pairs(table, least, similarity):
+                for a, b in np.unique(np.sort(np.stack([comp[x], comp[y]], axis=1), axis=1), axis=0).tolist():
+                    if (p := top(a)) != (q := top(b)):
+                        root[max(p, q)] = min(p, q)
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    return run
+
 
-    def run(pdf):
-        key, comp, n, side = (pdf[c].to_numpy() for c in ("key", "component", "n", "side"))
-        sig = np.frombuffer(b"".join(pdf["low"]), dtype=np.uint8).reshape(len(pdf), COORDINATES)
-        left, right = np.flatnonzero(side <= 1), np.flatnonzero(side >= 1)
-        out = []
-        for i in left:
-            own = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]) - 1e-9)]
-            if len(own):
-                same = (sig[own] == sig[i]).sum(axis=1)
-                if best:
-                    k = int(same.argmax())
-                    own, same = own[k : k + 1], same[k : k + 1]
-                ok = same >= least
-                out += [(key[i], key[j], int(s)) for j, s in zip(own[ok], same[ok])]
-        import pandas as pd
+def _similar(least: int, similarity: float, percent: int):
+    """Pairs of different components whose shortened sets are similar."""
 
-        return pd.DataFrame(out, columns=["a", "b", "same"]).astype("int64")
+    def run(batches):
+        for table in _groups(batches):
+            key, n = table["key"].to_numpy(), table["n"].to_numpy()
+            items = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in table["items"]]
+            for xs, ys in _pairs(table, least, similarity):
+                keep = []
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    at = np.searchsorted(items[y], items[x])
+                    both = int((items[y][np.minimum(at, len(items[y]) - 1)] == items[x]).sum())
+                    keep.append(100 * both >= percent * (n[x] + n[y] - both))
+                if any(keep):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[xs[keep]]), pa.array(key[ys[keep]])], ["a", "b"])
 
     return run
 
 
+def _celled(rows: DataFrame, count: str, size: int) -> DataFrame:
+    """rows (token, key, component, and others) in blocks of size of their token, which has count of them: sorted by token, i, j.
+
+    Block i meets each block j >= i: the one on the left, the other on the right, and both with itself.
+    """
+    blocks = F.ceil(F.col(count) / size)
+    mine = F.pmod(F.xxhash64("key"), blocks)
+    cells = F.transform(
+        F.sequence(F.lit(0).cast("long"), blocks - 1),
+        lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), F.when(o == mine, 1).when(mine < o, 0).otherwise(2).alias("side")),
+    )
+    others = [c for c in rows.columns if c != count]
+    out = rows.select(*others, F.explode(cells).alias("cell")).select("cell.i", "cell.j", "cell.side", *others)
+    return out.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
 class _Work:
     def __init__(self, own: DataFrame, size: int, similarity: float):
         self.own, self.size, self.percent, self.similarity = own, size, round(similarity * 100), similarity
-        self.least = threshold(similarity)
-        signed = staged(own.mapInArrow(_sign(size), f"id {dict(own.dtypes)['id']}, key long, n long, one long, two long, sig array<int>"))
+        self.least, self.counted = threshold(similarity), threshold(similarity, COUNTED)
+        signed = staged(own.mapInArrow(_sign(size), f"id {dict(own.dtypes)['id']}, key long, n long, one long, two long, sig array<int>, low binary"))
         self.signed = signed
-        classes = signed.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("key", "sig")).alias("f"))
-        low = F.unhex(F.array_join(F.transform("sig", lambda v: F.lpad(F.hex(v.bitwiseAND(255)), 2, "0")), ""))
-        classes = classes.select("one", "two", "n", "f.key", "f.sig").withColumn("low", low)
-        self.classes = staged(classes)
+        classes = signed.filter("n > 0").groupBy("one", "two", "n").agg(F.min(F.struct("key", "sig", "low")).alias("f"))
+        self.classes = staged(classes.select("one", "two", "n", "f.key", "f.sig", "f.low"))
         self.links: list[DataFrame] = []
 
     def postings(self) -> DataFrame:
@@ -171,17 +279,17 @@ class _Work:
         tokens = staged(tokens)
         shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
         # at most COORDINATES of a class come together here
-        mine = tokens.join(shared, "token").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
+        mine = skew_join(tokens, shared, ["token"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("all"))
         lists = F.lit(COORDINATES - self.least + 1) - (F.lit(COORDINATES) - F.size("all"))
         out = staged(mine.filter(lists > 0).select("key", F.explode(F.slice("all", F.lit(1), lists)).alias("x")).select("x.token", "key"))
         unstaged(tokens)
         return out
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those whose full sets are similar."""
+        """Of pairs (a, b) those whose full sets are similar. Texts are joined alike at every size, as nodes grow with them."""
         pairs = staged(pairs)
         nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-        sets = staged(self.own.select("key", "text").join(nodes, "key", "left_semi").mapInArrow(_sets(self.size), "key long, items binary"))
+        sets = staged(self.own.select("key", "text").join(nodes.hint("merge"), "key", "left_semi").mapInArrow(_sets(self.size), "key long, items binary"))
         released(self.own.sparkSession)
         one = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
         two = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
@@ -199,35 +307,33 @@ class _Work:
 
     def stars(self, postings: DataFrame) -> DataFrame:
         first = postings.groupBy("token").agg(F.min("key").alias("b"), F.count("*").alias("c")).filter("c > 1").select("token", "b")
-        pairs = postings.join(first, "token").filter("key > b").select(F.col("key").alias("a"), "b").distinct()
+        pairs = skew_join(postings, first, ["token"]).filter("key > b").select(F.col("key").alias("a"), "b").distinct()
         low = self.classes.select("key", "low", "n")
         a = low.select(F.col("key").alias("a"), F.col("low").alias("sa"), F.col("n").alias("na"))
         b = low.select(F.col("key").alias("b"), F.col("low").alias("sb"), F.col("n").alias("nb"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_agreeing(self.least, self.similarity), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(_agreeing(self.counted, self.similarity), "a long, b long")
 
-    def between(self, postings: DataFrame, components: DataFrame, best: bool) -> DataFrame:
-        """Pairs of different components that meet in a list."""
+    def between(self, postings: DataFrame, components: DataFrame) -> DataFrame | None:
+        """Pairs of different components that are similar by shortened sets; None if no list holds two components."""
         known = postings.join(components, postings["key"] == components["node"], "left").select("token", "key", F.coalesce("component", "key").alias("component"))
         known = staged(known)
         mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).filter("lo < hi")
-        rows = known.join(mixed.select("token", "c"), "token").join(self.classes.select("key", "n", "low"), "key")
-        blocks = F.ceil(F.col("c") / BLOCK)
-        rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")))
-        # block i meets each block j >= i: the one on the left, the other on the right, and both with itself
-        cells = F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-            lambda o: F.struct(
-                F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j"),
-                F.when(o == F.col("mine"), 1).when(F.col("mine") < o, 0).otherwise(2).alias("side"),
-            ),
-        )
-        rows = rows.select("token", "key", "component", "n", "low", F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "cell.side", "key", "component", "n", "low")
-        pairs = rows.groupBy("token", "i", "j").applyInPandas(_compared(self.least, self.similarity, best), "a long, b long, same long")
-        pairs = pairs.filter("a != b")
-        if best:
-            ends = F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b"), "same"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "same")))
-            pairs = pairs.select(ends.alias("e")).groupBy("e.a").agg(F.max(F.struct("e.same", "e.b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        rows = staged(skew_join(known, mixed.select("token", "c"), ["token"]))
+        if rows.isEmpty():
+            return None
+        low = self.classes.select("key", "n", "low")
+        edges = staged(_celled(rows.join(low, "key"), "c", LIST_BLOCK).mapInArrow(_spanning(self.counted, self.similarity), "a long, b long"))
+        if edges.isEmpty():
+            return None
+        released(self.own.sparkSession)
+        clusters = staged(connected_components(edges)).select("node", F.col("component").alias("cluster"))
+        members = staged(rows.select("key", "component").distinct().join(clusters, F.col("component") == F.col("node")).select("key", "component", F.col("cluster").alias("token")))
+        sizes = members.groupBy("token").agg(F.count("*").alias("c"))
+        sets = self.own.select("key", "text").join(members.select("key").hint("merge"), "key", "left_semi").mapInArrow(_sets(self.size, True), "key long, items binary")
+        sets = staged(sets)
+        released(self.own.sparkSession)
+        whole = skew_join(members, sizes, ["token"]).join(low, "key").join(sets, "key")
+        return _celled(whole, "c", BLOCK).mapInArrow(_similar(self.counted, self.similarity, self.percent), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def linked(own: DataFrame, size: int, similarity: float) -> tuple[_Work, DataFrame]:
@@ -236,16 +342,11 @@ def linked(own: DataFrame, size: int, similarity: float) -> tuple[_Work, DataFra
     postings = work.postings()
     released(own.sparkSession)
     work.links.append(work.confirmed(work.stars(postings)))
-    best = True
-    while True:
+    components = work.components()
+    if (pairs := work.between(postings, components)) is not None:
+        work.links.append(work.confirmed(pairs))
         components = work.components()
-        found = work.confirmed(work.between(postings, components, best))
-        some = not found.isEmpty()
-        if some:
-            work.links.append(found)
-        if not best:
-            return work, work.components() if some else components
-        best = some
+    return work, components
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 5, similarity: float = 0.8) -> DataFrame:
