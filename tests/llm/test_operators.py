@@ -174,6 +174,7 @@ def test_near_duplicates(docs, unique, rows, repeated):
 def test_long_lists_are_compared_whole(spark, monkeypatch):
     """With blocks as small as possible, cells find what pairs find."""
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "LIST_BLOCK", 4)
     rng = random.Random(9)
     base = [str(rng.random()) for _ in range(60)]
     rows = []
