@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import arrow_rows, keyed, released, staged, unstaged
+from lexengine.llm.common import arrow_rows, keyed, released, skew_join, staged, unstaged
 
 LENGTH, GRAM = 200, 25
 _ANCHOR = 2 * GRAM
@@ -170,7 +170,7 @@ def _sampled(own: DataFrame) -> DataFrame:
     """The runs whose anchor's bucket holds several."""
     all_ = staged(own.select("key", "text").mapInArrow(_runs, "anchor long, total long, key long, at long"))
     several = all_.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    out = staged(all_.join(several, "anchor", "left_semi"))
+    out = staged(skew_join(all_, several, ["anchor"], "left_semi"))
     unstaged(all_)
     return out
 
@@ -180,7 +180,7 @@ def _kinds(found: DataFrame) -> DataFrame:
     kinds = found.groupBy("anchor", "total").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     kinds = staged(kinds)
     per = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    return kinds.join(per, "anchor")
+    return staged(skew_join(kinds, per, ["anchor"]))
 
 
 def _opened(own: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -198,27 +198,27 @@ def _refined(opened: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = blocks.filter("w = 1").join(kinds.filter("t > 1").select("core", "full"), ["core", "full"], "left_semi")
     whole = whole.select("key", (start + F.col("i")).alias("first"), (start + F.col("i") + F.col("n") - 1).alias("last"))
     several = kinds.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
-    asked = kinds.join(several, "core", "left_semi").select("one.key", "one.at", F.struct("one.i", "one.n", F.least("t", F.lit(2)).cast("long").alias("w")).alias("x"))
+    asked = skew_join(kinds, several, ["core"], "left_semi").select("one.key", "one.at", F.struct("one.i", "one.n", F.least("t", F.lit(2)).cast("long").alias("w")).alias("x"))
     asked = asked.groupBy("key", "at").agg(F.collect_list("x").alias("asked"))
     windows = opened.join(asked, ["key", "at"]).select("key", "at", "bytes", "asked").mapInArrow(_windows, "core long, id long, key long, pos long, w long")
     windows = staged(windows)
     twice = windows.groupBy("core", "id").agg(F.sum("w").alias("t")).filter("t > 1").select("core", "id")
-    single = windows.filter("w = 1").join(twice, ["core", "id"], "left_semi").select("key", F.col("pos").alias("first"), F.col("pos").alias("last"))
+    single = skew_join(windows.filter("w = 1"), twice, ["core", "id"], "left_semi").select("key", F.col("pos").alias("first"), F.col("pos").alias("last"))
     return staged(whole), staged(single)
 
 
 def _cut(batches):
     for b in batches:
         out = []
-        for text, spans in zip(b["text"].to_pylist(), b["spans"]):
-            data = (text or "").encode()
-            spans = spans.as_py()
-            if not spans:
+        for text, spans in zip(b["text"], b["spans"]):
+            data = (text.as_py() or "").encode()
+            if not spans.is_valid:
                 out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
                 continue
+            first, last = (spans.values.field(c).to_numpy() for c in ("first", "last"))
             edge = np.zeros(len(data) + 1, dtype=np.int32)
-            np.add.at(edge, [s["first"] for s in spans], 1)
-            np.add.at(edge, [s["last"] + LENGTH for s in spans], -1)
+            np.add.at(edge, first, 1)
+            np.add.at(edge, last + LENGTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
             out.append((len(data), int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
