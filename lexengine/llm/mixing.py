@@ -57,7 +57,7 @@ def running_total(df: DataFrame, key: str, part: str, order: list[str], value: s
     parts = parts.select(key, part, F.coalesce(F.sum("part_sum__").over(earlier), F.lit(0)).alias("part_before__"))
     return (
         df.withColumn("here__", F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .join(parts, [key, part])
+        .join(parts.hint("merge"), [key, part])
         .withColumn("before", (F.col("here__") + F.col("part_before__")).cast("long"))
         .drop("here__", "part_before__")
     )
@@ -156,7 +156,8 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """The mix with its contents: shard, source_no, block, before, first, words."""
-        return self.slots().join(self.pieces(), ["source_no", "block"])
+        # slots look small to Spark, which doesn't know what a Python function makes of few rows: they must not be broadcast
+        return self.slots().hint("merge").join(self.pieces(), ["source_no", "block"])
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **params) -> DataFrame:
@@ -167,7 +168,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     """
     mix = Mix(docs, [id_col], text_col, source_col, **params)
     taken = mix.mixed().groupBy("source_no", "before").agg(F.sum("words").alias("taken"))
-    with_words = mix.rows.filter("size > 0").join(taken, ["source_no", "before"], "left")
+    with_words = mix.rows.filter("size > 0").join(taken.hint("merge"), ["source_no", "before"], "left")
     out = with_words.unionByName(mix.rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source_no")
 
@@ -187,9 +188,9 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     times = mix.mixed().groupBy("source_no", "before", "first", "words").count()
     # stretches of one document: as many as it has blocks
     plan = times.groupBy("source_no", "before").agg(F.array_sort(F.collect_list(F.struct("first", "words", "count"))).alias("plan__"))
-    plan = plan.join(mix.rows.select("source_no", "before", "size", "uid__").filter("size > 0"), ["source_no", "before"]).select("uid__", "size", "plan__")
+    plan = plan.hint("merge").join(mix.rows.select("source_no", "before", "size", "uid__").filter("size > 0"), ["source_no", "before"]).select("uid__", "size", "plan__")
     arrow_rows(spark, 512)
-    joined = own.join(plan, "uid__").select("uid__", F.col(text_col).alias("t__"), "size", "plan__")
+    joined = own.join(plan.hint("merge"), "uid__").select("uid__", F.col(text_col).alias("t__"), "size", "plan__")
 
     def cut(batches):
         import re
@@ -216,7 +217,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
             yield pd.DataFrame({"uid__": ids, "new__": texts})
 
     new = joined.mapInPandas(cut, "uid__ long, new__ string")
-    out = new.join(own.drop(text_col), "uid__").withColumnRenamed("new__", text_col)
+    out = new.hint("merge").join(own.drop(text_col), "uid__").withColumnRenamed("new__", text_col)
     if count_col in cols:
         out = out.withColumn(count_col, F.length(text_col).cast(docs.schema[count_col].dataType))
     return out.select(*cols)
