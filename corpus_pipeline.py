@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.llm import bpe
-from lexengine.llm.common import documents, staged
+from lexengine.llm.common import documents, released, staged
 from lexengine.llm.exact_dedup import without_copies
 from lexengine.llm.language_id import in_known_language
 from lexengine.llm.mixing import mixed_documents
@@ -16,26 +16,31 @@ from lexengine.llm.queries import vocabulary
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    released(spark)
     return in_known_language(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
+    released(spark)
     return without_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    released(spark)
     return without_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: of each document a row for every pass that takes words of it, with the words taken."""
+    released(spark)
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their ids, and whether these decode to the text."""
+    released(spark)
     ranks, pattern = vocabulary()
     out = bpe.encode(docs, ranks, pattern)
     return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import arrow_rows, most_frequent, staged
+from lexengine.llm.common import arrow_rows, most_frequent, released, staged
 
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
@@ -147,10 +147,12 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_
     """The most frequent words with their ids, as an Arrow stream: Python objects for each would burden the driver."""
     counts = staged(word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= WORD_BYTES))
     top = most_frequent(counts, words)
+    released(docs.sparkSession)
     table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids")).toArrow()
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema) as stream:
         stream.write_table(table)
+    released(docs.sparkSession)
     return out.getvalue().to_pybytes()
 
 
