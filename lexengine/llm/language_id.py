@@ -1,23 +1,26 @@
 """Language ID by words first: log frequencies of known words, and for unseen words those of character n-grams,
-the longest order of which the model knows any."""
+the longest order of which the model knows any.
+
+The model is two tables that keep every counted word and n-gram. Frequent words are broadcast with their rows, as a cache;
+the other words of the texts are made distinct and joined with the tables.
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cached_property
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import arrow_rows, held_out, most_frequent, staged
+from lexengine.llm.common import arrow_rows, held_out, keyed, most_frequent, skew_join, staged
 
-#: Entries that a model holds at most, by count over all of the corpus; they bound the broadcast.
-MOST_WORDS, MOST_GRAMS, ORDERS = 50_000, 60_000, (5, 4, 3, 2, 1)
+#: Words whose rows are broadcast; the others get the same rows by joins, so that this changes no result.
+CACHED, ORDERS = 1 << 17, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 _FLUSH = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,118 +59,108 @@ def _counted(pairs_of):
     return run
 
 
+@dataclass
 class Model:
-    """Log frequencies by language: a matrix's rows, for words and for n-grams. Look-up tables are made where it is used."""
-
-    def __init__(self, langs: list[str], words: pa.Array, of_words: np.ndarray, grams: pa.Array, of_grams: np.ndarray):
-        self.langs, self._words, self._grams = langs, words, grams
-        self.of_words, self.of_grams = of_words, of_grams
-
-    @cached_property
-    def words(self) -> dict[str, int]:
-        return {w: i for i, w in enumerate(self._words.to_pylist())}
-
-    @cached_property
-    def grams(self) -> dict[str, int]:
-        return {g: i for i, g in enumerate(self._grams.to_pylist())}
-
-    def backed_off(self, word: str) -> np.ndarray:
-        """Of an unseen word: the mean of its n-grams, of the longest order of which any is known."""
-        for n in ORDERS:
-            if found := [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]:
-                return self.of_grams[found].mean(axis=0)
-        return np.zeros(len(self.langs))
-
-    def predict(self, texts) -> tuple[list[str], list[float]]:
-        # rows of unseen words are added behind those of the known ones
-        rows, at, said, score = self.of_words.copy(), dict(self.words), [], []
-        used = known = len(rows)
-        for text in texts:
-            words = words_of(text) if text else []
-            if not words or not self.langs:
-                said.append(UNKNOWN)
-                score.append(0.0)
-                continue
-            if used > known + _FLUSH:
-                at, used = dict(self.words), known
-            own = list(map(at.get, words))
-            if None in own:
-                for k, i in enumerate(own):
-                    if i is None:
-                        if (i := at.get(words[k])) is None:
-                            if used == len(rows):
-                                rows = np.concatenate([rows, np.zeros((max(used, 1024), len(self.langs)))])
-                            rows[used] = self.backed_off(words[k])
-                            i = at[words[k]] = used
-                            used += 1
-                        own[k] = i
-            total = rows[own].sum(axis=0)
-            p = np.exp(total - total.max())
-            p /= p.sum()
-            best = int(p.argmax())
-            said.append(self.langs[best])
-            score.append(float(p[best]))
-        return said, score
-
-
-def _top(counts: DataFrame, most: int, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """The most frequent entries, and their counts by language as a matrix."""
-    by = counts.groupBy("entry").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    each = F.array(*(F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(0)).cast("double") for x in langs))
-    table = most_frequent(staged(by), most).select("entry", each.alias("n")).orderBy("entry").toArrow().combine_chunks()
-    numbers = np.array(table["n"].combine_chunks().flatten()) if len(table) else np.zeros(0)
-    return table["entry"].combine_chunks(), numbers.reshape(-1, len(langs))
-
-
-def _logs(counts: np.ndarray, totals: list[int]) -> np.ndarray:
-    """Smoothed log frequencies."""
-    return np.log(counts + 0.5) - np.log(np.array(totals) + 0.5 * len(counts) + 1)
-
-
-def train(docs: DataFrame, text_col="text", lang_col="lang", most_words=MOST_WORDS, most_grams=MOST_GRAMS) -> Model:
-    """A model of the rows that have a language. Counts cover all of their words; the model keeps the most frequent."""
+    """Log frequencies by language: tables of entry and v0, v1, ... in the order of langs; words have their count n too."""
+
+    langs: list[str]
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"v{k}" for k in range(len(self.langs))]
+
+
+def _logs(counts: DataFrame, langs: list[str], order: Column) -> DataFrame:
+    """Smoothed log frequencies of all entries, each within its order, which is at least 1."""
+    each = (F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"v{k}") for k, x in enumerate(langs))
+    wide = staged(counts.groupBy("entry").agg(F.sum("n").alias("n"), *each))
+    sizes = {r.order: r for r in wide.groupBy(order.alias("order")).agg(F.count("*").alias("entries"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(len(langs)))).collect()}
+
+    def total(k):
+        by = [float(np.log(sizes[n][f"v{k}"] + 0.5 * sizes[n].entries + 1)) if n in sizes else 0.0 for n in range(1, max(ORDERS) + 1)]
+        return F.array(*map(F.lit, by))[order - 1]
+
+    return wide.select("entry", "n", *((F.log(F.col(f"v{k}") + 0.5) - total(k)).alias(f"v{k}") for k in range(len(langs))))
+
+
+def train(docs: DataFrame, text_col="text", lang_col="lang") -> Model:
+    """A model of the rows that have a language: all of their words, and all n-grams of these."""
     arrow_rows(docs.sparkSession)
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     shape = "lang string, entry string, n long"
     counts = staged(known.mapInPandas(_counted(lambda r: (r.lang, words_of(r.text))), shape).groupBy("lang", "entry").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
-        none = pa.array([], pa.string())
-        return Model([], none, np.zeros((0, 0)), none, np.zeros((0, 0)))
+        return Model([])
     grams = counts.mapInPandas(_counted(lambda r: (r.lang, [g for n in ORDERS for g in grams_of(r.entry, n)])), shape)
-    grams = staged(grams.groupBy("lang", "entry").agg(F.sum("n").alias("n")))
     # n-grams are compared within their order only; each order has its own totals
-    by_order = {(r.order, r.lang): r.n for r in grams.groupBy(F.length("entry").alias("order"), "lang").agg(F.sum("n").alias("n")).collect()}
-    found, numbers = _top(grams, most_grams, langs)
-    size = np.array(pc.utf8_length(found).to_pylist(), dtype=int)
-    for n in ORDERS:
-        numbers[size == n] = _logs(numbers[size == n], [by_order.get((n, x), 0) for x in langs])
-    words, of_words = _top(counts, most_words, langs)
-    return Model(langs, words, _logs(of_words, [totals[x] for x in langs]), found, numbers)
-
-
-def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
-    """id, lang_pred, score of every row: und and 0 where the text is null or has no letter, or nothing was learned."""
-    arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
+    return Model(langs, _logs(counts, langs, F.lit(1)), _logs(grams, langs, F.length("entry")).drop("n"))
+
+
+def _backed_off(unseen: DataFrame, model: Model) -> DataFrame:
+    """Rows of unseen words: the mean of their n-grams, of the longest order of which any is known; none if there is none."""
+    done, todo = None, unseen
+    # nearly all have a known n-gram of the longest order; the rest is tried with all others at once
+    for orders in (ORDERS[:1], ORDERS[1:]):
+        each = None
+        for n in orders:
+            padded = F.concat(F.lit("^"), "word", F.lit("$")) if n > 1 else F.col("word")
+            own = todo.select("word", padded.alias("p")).filter(F.length("p") >= n)
+            places = own.select("word", "p", F.explode(F.sequence(F.lit(1), F.length("p") - n + 1)).alias("i"))
+            own = places.select("word", F.lit(n).alias("order"), F.substring(F.col("p"), F.col("i"), F.lit(n)).alias("entry"))
+            each = own if each is None else each.unionByName(own)
+        means = skew_join(each, model.grams, ["entry"]).groupBy("word", "order").agg(*(F.avg(v).alias(v) for v in model.columns))
+        best = means.groupBy("word").agg(F.max(F.struct("order", *model.columns)).alias("best")) if len(orders) > 1 else means.select("word", F.struct(*model.columns).alias("best"))
+        found = staged(best.select("word", *(F.col(f"best.{v}").alias(v) for v in model.columns)))
+        done = found if done is None else done.unionByName(found)
+        todo = unseen.join(found, "word", "left_anti")
+    return done
+
+
+def _predicted(own: DataFrame, model: Model) -> DataFrame:
+    """key, id, lang_pred, score of every row of own (id, key, text)."""
+    spark, size = own.sparkSession, len(model.langs)
+    if not model.langs:
+        return own.select("key", "id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    arrow_rows(spark)
+    table = most_frequent(model.words, CACHED).drop("n").toArrow().combine_chunks()
+    cached = spark.sparkContext.broadcast((table["entry"].combine_chunks(), np.column_stack([table[v].to_numpy() for v in model.columns])))
 
     def run(batches):
-        ids = []
-
-        def texts():
-            for batch in batches:
-                ids.append(batch["id"])
-                yield from batch["t"]
+        entries, rows = cached.value
+        at = {w: i for i, w in enumerate(entries.to_pylist())}
+        for batch in batches:
+            some, sums, rest = [], np.zeros((batch.num_rows, size)), []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                words = words_of(text) if text else []
+                places = list(map(at.get, words))
+                rest.append([w for w, i in zip(words, places) if i is None] if None in places else [])
+                if found := [i for i in places if i is not None]:
+                    sums[k] = rows[found].sum(axis=0)
+                some.append(bool(words))
+            own = [pa.array(sums[:, k]) for k in range(size)]
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["id"], pa.array(some, pa.bool_()), pa.array(rest, pa.list_(pa.string())), *own], ["key", "id", "some", "rest", *(f"s{k}" for k in range(size))])
+
+    kind = own.schema["id"].dataType.simpleString()
+    shape = f"key long, id {kind}, some boolean, rest array<string>, " + ", ".join(f"s{k} double" for k in range(size))
+    texts = staged(own.select("key", "id", "text").mapInArrow(run, shape))
+    rest = texts.select("key", F.explode("rest").alias("word"))
+    rows = staged(rest.select("word").distinct().join(model.words.select(F.col("entry").alias("word"), *model.columns), "word", "left"))
+    seen = F.col("v0").isNotNull()
+    rows = rows.filter(seen).unionByName(_backed_off(rows.filter(~seen).select("word"), model))
+    added = skew_join(rest, rows, ["word"]).groupBy("key").agg(*(F.sum(v).alias(v) for v in model.columns))
+    total = F.array(*(F.col(f"s{k}") + F.coalesce(f"v{k}", F.lit(0.0)) for k in range(size)))
+    out = texts.drop("rest").join(added, "key", "left").select("key", "id", "some", total.alias("total")).withColumn("most", F.array_max("total"))
+    best = F.array(*map(F.lit, model.langs))[F.array_position("total", F.col("most")).cast("int") - 1]
+    score = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
+    return out.select("key", "id", F.when(F.col("some"), best).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("some"), score).otherwise(0.0).alias("score"))
 
-        # one call for the partition keeps what it learned of unseen words; its results are small
-        said, score = shared.value.predict(texts())
-        if said:
-            yield pd.DataFrame({"id": pd.concat(ids, ignore_index=True), "lang_pred": said, "score": score})
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, f"id {kind}, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+def predict(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
+    """id, lang_pred, score of every row: und and 0 where the text is null or has no letter, or nothing was learned."""
+    return _predicted(keyed(docs, id_col, text_col), model).select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
@@ -179,12 +172,12 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang")
 def in_known_language(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", least: float = 0.5) -> DataFrame:
     """docs without the rows whose language can't be told: no letters, or a best language below least."""
     model = train(docs.filter(~held_out(F.col(id_col))), text_col, lang_col)
-    arrow_rows(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("boolean")
-    def told(text: pd.Series) -> pd.Series:
-        said, score = shared.value.predict(text)
-        return pd.Series([a != UNKNOWN and s >= least for a, s in zip(said, score)])
-
-    return docs.filter(told(F.col(text_col)))
+    own = keyed(docs, id_col, text_col)
+    if hasattr(own, "staged_at"):  # ids repeat: rows are told apart by a number
+        docs = staged(docs.withColumn("key__", F.monotonically_increasing_id()))
+        own = docs.select(F.col(id_col).alias("id"), F.col("key__").alias("key"), F.col(text_col).alias("text"))
+    else:
+        docs = docs.withColumn("key__", F.col(id_col).cast("long"))
+    # staged, so that few such rows are broadcast and texts are not shuffled
+    out = staged(_predicted(own, model).filter((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("key").alias("key__")))
+    return docs.join(out, "key__", "left_anti").drop("key__")

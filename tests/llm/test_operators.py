@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import pytest
@@ -240,6 +242,46 @@ def test_language_id(spark, docs):
     assert {r.doc_id for r in language_id.in_known_language(table(spark, rows)).collect()} == {*range(200), 202}
 
 
+@pytest.mark.parametrize("cached", [None, 2])
+def test_language_id_keeps_every_word(spark, monkeypatch, cached):
+    """Scores by all words and n-grams, also when nearly all go through the joins."""
+    if cached:
+        monkeypatch.setattr(language_id, "CACHED", cached)
+    rng = random.Random(3)
+    hot = {"xx": "abcdefghij", "yy": "fghijklmno"}
+    learn = [i for i in range(500) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(500) if i not in set(learn)]
+    rows = [(i, " ".join("".join(rng.choice(hot[l]) for _ in range(6)) for _ in range(300 if l == "xx" else 30)), l, None) for k, i in enumerate(learn) for l in (["xx", "yy"][k % 2],)]
+    rows += [(i, " ".join("".join(rng.choice("fghijz") for _ in range(rng.randint(1, 5))) for _ in range(3)) + " " + rng.choice(rng.choice(rows)[1].split()), None, None) for i in held]
+    words, grams, langs = {l: Counter() for l in hot}, {l: Counter() for l in hot}, sorted(hot)
+    for _, t, l, _ in rows:
+        if l:
+            words[l].update(t.split())
+    for l in langs:
+        for w in words[l]:
+            grams[l].update(g for n in language_id.ORDERS for g in language_id.grams_of(w, n))
+
+    kept = {0: words} | {n: {l: Counter({g: c for g, c in grams[l].items() if len(g) == n}) for l in langs} for n in language_id.ORDERS}
+    sizes = {n: (len(set().union(*of.values())), {l: of[l].total() for l in langs}) for n, of in kept.items()}
+
+    def log(entry, n):
+        return [math.log(kept[n][l][entry] + 0.5) - math.log(sizes[n][1][l] + 0.5 * sizes[n][0] + 1) for l in langs]
+
+    def row(w):
+        if any(w in words[l] for l in langs):
+            return log(w, 0)
+        for n in language_id.ORDERS:
+            if found := [g for g in language_id.grams_of(w, n) if any(g in grams[l] for l in langs)]:
+                return [sum(x) / len(found) for x in zip(*(log(g, n) for g in found))]
+        return [0.0, 0.0]
+
+    out = {r.doc_id: r for r in language_id.identify(table(spark, rows)).collect()}
+    for i, t, _, _ in rows[-20:]:
+        total = [sum(x) for x in zip(*map(row, t.split()))]
+        assert out[i].score == pytest.approx(1 / sum(math.exp(x - max(total)) for x in total), abs=1e-9)
+        assert out[i].lang_pred == langs[total.index(max(total))]
+
+
 def test_quality_rules(docs, rows):
     out = quality_rules.quality_rules(docs).collect()
     expected = Counter()
