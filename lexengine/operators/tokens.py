@@ -95,7 +95,7 @@ def contained(notes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
     """item_id, known: whether a note's text stands in any of texts.
 
     Notes and texts meet by runs of so many words, the note's being its second to fifth, whose edges a text can't change;
-    shorter notes, which have no such run, meet by a word, or by nothing if they have no whole word.
+    notes of three words have a run of one; those of one or two words, and empty ones, have none.
     """
     split = lambda c: F.split(F.btrim(c), r"\s+")
     own = notes.withColumn("w", split(F.col("text"))).withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(words)), F.lit(0)))
@@ -105,6 +105,8 @@ def contained(notes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
     )
     each = texts.select("text", split(F.col("text")).alias("w")).select("text", F.explode(F.array_distinct(runs)).alias("run"))
     hits = each.join(own.filter("n > 0").select("run", "note", "item_id"), "run").filter(F.col("text").contains(F.col("note")))
-    # the few notes without a run are looked for in every text
-    found = hits.select("item_id").distinct().withColumn("known", F.lit(True))
+    # notes without a run are a query set that is looked for in every text, block by block if it is not small
+    short = own.filter("n = 0").select("note", "item_id")
+    met = short.select("note").distinct().join(texts.select("text"), F.contains("text", "note")).select("note").distinct()
+    found = hits.select("item_id").unionByName(short.join(met, "note").select("item_id")).distinct().withColumn("known", F.lit(True))
     return notes.select("item_id").distinct().join(found, "item_id", "left").select("item_id", F.coalesce("known", F.lit(False)).alias("known"))

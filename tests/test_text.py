@@ -100,3 +100,10 @@ def test_notes(spark):
     assert N.furigana_plain(parts) == "打[う]ち 込[こ]む"
     assert N.furigana_html(parts) == "<ruby>打<rt>う</rt></ruby>ち<ruby>込<rt>こ</rt></ruby>む"
     assert N.cloze("one two three", 4, "two") == {"prefix": "one ", "body": "two", "suffix": " three"}
+
+
+def test_short_notes_are_contained(spark):
+    notes = spark.createDataFrame([(1, "anvil"), (2, "blue anvil"), (3, "nvil i"), (4, "gear"), (5, ""), (6, None), (7, "is blue here"), (8, "the blue anvil is here")], "item_id long, text string")
+    texts = spark.createDataFrame([("the blue anvil is here",), (None,), ("nothing",)], "text string")
+    out = {r.item_id: r.known for r in tokens.contained(notes, texts).collect()}
+    assert out == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: True}
