@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.functions import japanese as J
 from lexengine.functions.text import sentence_at
+from lexengine.llm.common import skew_join, staged
 
-#: Words of a language that its tokenizer keeps at most, by documents that hold them: they are broadcast.
-MOST_WORDS = 50_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: Terms with readings and places of their downstep.
 READINGS = [("打ち込む", "うちこむ", 3), ("食べ物", "たべもの", 2), ("中腰", "ちゅうごし", 0), ("日本語", "にほんご", 0), ("お手前", "おてまえ", 2), ("テスト", "テスト", 1)]
 
 
-def vocabulary(docs: DataFrame, least: int = 3, most: int = MOST_WORDS) -> dict[str, set[str]]:
-    """Words by language (lang) that at least so many texts hold."""
+def _entry(lang: Column, word: Column) -> Column:
+    """A word and its language as one key, which is not null."""
+    return F.concat(F.coalesce(F.concat(F.lit("+"), lang), F.lit("-")), F.lit("\n"), word)
+
+
+def vocabulary(docs: DataFrame, least: int = 3) -> DataFrame:
+    """entry (language and word), size: the words by language (lang) that at least so many texts hold."""
     words = docs.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    count = words.groupBy("lang", "word").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    out: dict[str, set[str]] = {}
-    for r in count.orderBy(F.desc("n"), "lang", "word").limit(most).collect():
-        out.setdefault(r.lang, set()).add(r.word)
-    return out
+    count = words.groupBy(_entry(F.col("lang"), F.col("word")).alias("entry"), F.length("word").alias("size")).agg(F.count("*").alias("n"))
+    return count.filter(F.col("n") >= least).select("entry", "size")
 
 
 def segments(text: str, words: set[str], longest: int) -> list[tuple[int, int, bool]]:
@@ -50,19 +54,67 @@ def segments(text: str, words: set[str], longest: int) -> list[tuple[int, int, b
     return out
 
 
-def tokenized(docs: DataFrame, known: dict[str, set[str]]) -> DataFrame:
-    """doc_id, n_segments, n_known, known_chars of each text (doc_id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast({lang: (w, max(map(len, w), default=0)) for lang, w in known.items()})
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for i, lang, text in zip(b["doc_id"], b["lang"], b["text"]):
-                found = segments(text or "", *shared.value.get(lang, (set(), 0)))
-                rows.append((i, len(found), sum(k for _, _, k in found), sum(e - s for s, e, k in found if k)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_segments", "n_known", "known_chars"])
-
-    return docs.select("doc_id", "lang", "text").mapInPandas(run, "doc_id long, n_segments long, n_known long, known_chars long")
+def _runs(batches):
+    """mapInPandas body: gaps and runs of letters of each text, runs with how often they stand, and stand behind and before a gap."""
+    for b in batches:
+        rows = []
+        for key, i, lang, text in zip(b["key"], b["doc_id"], b["lang"], b["text"]):
+            text = text or ""
+            low = text.lower()
+            low = low if len(low) == len(text) else text
+            found: dict[str, list[int]] = {}
+            gaps = end = 0
+            for m in _LETTERS.finditer(low):
+                gaps += m.start() > end
+                end = m.end()
+                n = found.setdefault(m[0], [0, 0, 0])
+                n[0] += 1
+                n[1] += m.start() > 0
+                n[2] += end < len(low)
+            rows.append((key, i, lang, gaps + (end < len(low)), list(found), *([n[k] for n in found.values()] for k in range(3))))
+        yield pd.DataFrame(rows, columns=["key", "doc_id", "lang", "gaps", "run", "n", "behind", "before"])
+
+
+def _summed(batches):
+    """mapInPandas body: of each run its known segments and their characters, all segments, and whether it starts and ends with an unknown one."""
+    for b in batches:
+        rows = []
+        for entry, words in zip(b["entry"], b["words"]):
+            run, words = entry.split("\n", 1)[1], set(words)
+            own = segments(run, words, max(map(len, words), default=0))
+            rows.append((entry, sum(k for *_, k in own), sum(e - s for s, e, k in own if k), len(own), int(not own[0][2]), int(not own[-1][2])))
+        yield pd.DataFrame(rows, columns=["entry", "known", "chars", "segments", "starts", "ends"])
+
+
+def tokenized(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, n_segments, n_known, known_chars of each text (doc_id, lang, text), by the words of vocabulary().
+
+    Words are letters only, so that each run of letters has its segments whatever stands around it: distinct runs are
+    joined with the words, those that are no word by their parts. Between runs, unknown segments are one with the gap.
+    """
+    known = staged(known)
+    longest = known.agg(F.max("size")).first()[0] or 0
+    shape = "key long, doc_id long, lang string, gaps long, run array<string>, n array<long>, behind array<long>, before array<long>"
+    own = staged(docs.select("doc_id", "lang", "text").withColumn("key", F.monotonically_increasing_id()).mapInPandas(_runs, shape))
+    each = own.select("key", "lang", F.explode(F.arrays_zip("run", "n", "behind", "before")).alias("r"))
+    each = each.select("key", _entry(F.col("lang"), F.col("r.run")).alias("entry"), F.col("lang"), "r.*")
+    distinct = staged(each.groupBy("entry").agg(F.first("lang").alias("lang"), F.first("run").alias("run")))
+    whole = distinct.join(known, "entry", "left_semi").select("entry", F.array("run").alias("words"))
+    rest = distinct.join(known, "entry", "left_anti")
+    at = rest.select("entry", "lang", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
+    size = F.least(F.length("run") - F.col("i") + 1, F.lit(longest))
+    parts = at.filter(size > 0).select("entry", "lang", "run", "i", F.explode(F.sequence(F.lit(1), size)).alias("size"))
+    parts = parts.select(F.col("entry").alias("of"), F.substring("run", F.col("i"), F.col("size")).alias("word"), "lang")
+    parts = parts.select("of", "word", _entry(F.col("lang"), F.col("word")).alias("entry"))
+    parts = skew_join(parts, known.select("entry"), ["entry"]).groupBy("of").agg(F.collect_set("word").alias("words"))
+    rest = rest.join(parts.withColumnRenamed("of", "entry"), "entry", "left").select("entry", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    sums = staged(whole.unionByName(rest).mapInPandas(_summed, "entry string, known long, chars long, segments long, starts long, ends long"))
+    n = F.col("n")
+    of = skew_join(each.drop("lang", "run"), sums, ["entry"]).groupBy("key").agg(
+        F.sum(n * F.col("segments") - F.col("behind") * F.col("starts") - F.col("before") * F.col("ends")).alias("s"), F.sum(n * F.col("known")).alias("k"), F.sum(n * F.col("chars")).alias("c")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return own.select("key", "doc_id", "gaps").join(of, "key", "left").select("doc_id", (F.col("gaps") + zero("s")).alias("n_segments"), zero("k").alias("n_known"), zero("c").alias("known_chars"))
 
 
 def middle_sentences(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from lexengine.functions import japanese as J
 from lexengine.functions import text as T
 from lexengine.functions.inflections import ENGLISH, GERMAN, JAPANESE, LANGUAGES, SPANISH
@@ -107,3 +110,25 @@ def test_short_notes_are_contained(spark):
     texts = spark.createDataFrame([("the blue anvil is here",), (None,), ("nothing",)], "text string")
     out = {r.item_id: r.known for r in tokens.contained(notes, texts).collect()}
     assert out == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False, 7: False, 8: True}
+
+
+def test_texts_are_tokenized_by_every_word(spark):
+    """More words than were kept before, and the segments that each text has by itself."""
+    rng = random.Random(6)
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(51_000)]
+    rows = [(i, "xx", " ".join(many)) for i in range(3)]
+    for i in range(3, 60):
+        text = "".join(rng.choice([rng.choice(many), rng.choice(many).upper(), "ab", "q", " ", ", ", "²x", "日本", "İ", ""]) for _ in range(rng.randint(0, 15)))
+        rows.append((i, rng.choice(["xx", "yy", None]), text))
+    rows += [(60, "xx", None), (60, "xx", "ab"), *[(i, None, "null word 日") for i in range(61, 65)]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    known: dict = {}
+    for r in tokens.vocabulary(docs).collect():
+        lang, word = r.entry.split("\n")
+        known.setdefault(None if lang == "-" else lang[1:], set()).add(word)
+    assert set(many) <= known["xx"] and "null" in known[None]
+    expected = Counter()
+    for i, lang, text in rows:
+        found = tokens.segments(text or "", known.get(lang, set()), 20)
+        expected[i, len(found), sum(k for *_, k in found), sum(e - s for s, e, k in found if k)] += 1
+    assert Counter(map(tuple, tokens.tokenized(docs, tokens.vocabulary(docs)).collect())) == expected
