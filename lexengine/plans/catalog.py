@@ -536,7 +536,7 @@ def find_terms_group(spark, d):
 @query(None)
 def find_terms_merge(spark, d):
     """The same, merged by the sequences of one dictionary."""
-    out = translate.find_terms(_batch(spark, TEXTS, "query_id int, text string"), _lookup_terms(spark, d), "en", "merge", main="ECONOMY", most=10)
+    out = translate.find_terms(_batch(spark, TEXTS, "query_id int, text string"), _lookup_terms(spark, d), "en", "merge", main="ECONOMY")
     return out.withColumn("expressions", F.array_join("expressions", ","))
 
 

@@ -132,3 +132,10 @@ def test_texts_are_tokenized_by_every_word(spark):
         found = tokens.segments(text or "", known.get(lang, set()), 20)
         expected[i, len(found), sum(k for *_, k in found), sum(e - s for s, e, k in found if k)] += 1
     assert Counter(map(tuple, tokens.tokenized(docs, tokens.vocabulary(docs)).collect())) == expected
+
+
+def test_merged_lookup_gives_all_entries(spark):
+    from lexengine.plans import catalog
+
+    out = catalog.find_terms_merge(spark, "/root/testdata/sf0.01")
+    assert out.agg({"rank": "max"}).first()[0] > 10
