@@ -146,7 +146,7 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
 def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", words=WORDS) -> bytes:
     """The most frequent words with their ids, as an Arrow stream: Python objects for each would burden the driver."""
     counts = staged(word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= WORD_BYTES))
-    top = most_frequent(counts, words)
+    top = most_frequent(counts, words, "word")
     released(docs.sparkSession)
     table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids")).toArrow()
     out = pa.BufferOutputStream()
