@@ -1,10 +1,12 @@
-"""Shared pieces of the llm operators: inputs, lineage cuts and Arrow batch sizes."""
+"""Shared pieces of the llm operators: inputs, keys of rows, lineage cuts and joins."""
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +76,32 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return staged(own.withColumn("key", F.monotonically_increasing_id()))
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Python workers get at most so many rows a batch: some texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """docs and the name of a column that tells its rows apart: the id where it is a unique integer, else key__, a number in a staged copy."""
+    if docs.schema[id_col].dataType.simpleString() in ("bigint", "int"):
+        if docs.groupBy(id_col).count().filter((F.col("count") > 1) | F.col(id_col).isNull()).isEmpty():
+            return docs, id_col
+    return staged(docs.withColumn("key__", F.monotonically_increasing_id())), "key__"
+
+
+@contextlib.contextmanager
+def short_plans(spark: SparkSession, most: int = 4096) -> Iterator[None]:
+    """Within, descriptions of plans are cut: the driver keeps one for each query, and large literals stand in it again and again."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free_name(name: str, columns: Iterable[str]) -> str:
+    """name, with as many underscores as it takes to clash with no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id: Column) -> Column:
