@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexengine.llm.common import arrow_rows, staged
+from lexengine.llm.common import staged
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -120,7 +120,6 @@ class Mix:
     def slots(self) -> DataFrame:
         """The mix: shard, source_no, block. Slots beyond a source's last pass stay empty."""
         spark = self.rows.sparkSession
-        arrow_rows(spark, 64)
         quota, size, seed = np.array(self.quota), self.shard_slots, self.seed
         total = round(float(quota.sum()))
         shards = -(-total // size)
@@ -128,7 +127,6 @@ class Mix:
 
         def draw(batches):
             for batch in batches:
-                out = []
                 for shard in batch["shard"]:
                     want = min(size, total - shard * size) * share
                     whole = np.floor(want + 1e-9).astype(np.int64)
@@ -136,23 +134,34 @@ class Mix:
                     left = round(float(want.sum())) - int(whole.sum())
                     if left > 0:
                         whole = whole + np.random.default_rng([seed, int(shard)]).multinomial(left, rest / rest.sum())
-                    out.append(pd.DataFrame({"shard": int(shard), "source_no": np.arange(len(whole), dtype=np.int32), "n": whole}))
-                yield pd.concat(out) if out else pd.DataFrame({"shard": [], "source_no": [], "n": []})
+                    some = np.flatnonzero(whole)
+                    yield pd.DataFrame({"shard": int(shard), "source_no": some.astype(np.int32), "n": whole[some]})
 
-        counts = spark.range(0, max(shards, 0), numPartitions=max(1, min(shards, 512))).toDF("shard").mapInPandas(draw, "shard long, source_no int, n long")
+        counts = spark.range(0, max(shards, 0), numPartitions=max(1, min(shards // 64, 512))).toDF("shard").mapInPandas(draw, "shard long, source_no int, n long")
         counts = counts.withColumn("part__", F.floor(F.col("shard") / F.lit(max(1, math.isqrt(shards)))))
         counts = running_total(counts, "source_no", "part__", ["shard"], "n")
-        blocks, most = self.blocks, MOST_PASSES
+        blocks, most = np.array(self.blocks, dtype=np.int64), MOST_PASSES
 
         def place(batches):
             for batch in batches:
-                for shard, s, before, n in zip(batch["shard"], batch["source_no"], batch["before"], batch["n"]):
-                    j = np.arange(before, min(before + n, most * blocks[s]), dtype=np.int64)
-                    for turn in np.unique(j // max(blocks[s], 1)):
-                        own = j[j // blocks[s] == turn] % blocks[s]
-                        yield pd.DataFrame({"shard": shard, "source_no": np.int32(s), "block": permuted(own, blocks[s], seed * 64 + s * most + int(turn))})
-
-        return counts.filter("n > 0").select("shard", "source_no", "before", "n").mapInPandas(place, "shard long, source_no int, block long")
+                for s, rows in batch.groupby("source_no"):
+                    begin, end = rows["before"].to_numpy(), np.minimum(rows["before"] + rows["n"], most * blocks[s]).to_numpy()
+                    n = np.maximum(end - begin, 0)
+                    # slots of many shards at once, some 2^18 at a time
+                    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), 1 << 18))
+                    for a, b in zip(cuts, [*cuts[1:], len(n)]):
+                        own = n[a:b]
+                        j = np.arange(own.sum()) + np.repeat(begin[a:b] - np.cumsum(own) + own, own)
+                        at = np.empty(len(j), dtype=np.int64)
+                        for turn in np.unique(j // blocks[s]):
+                            of = j // blocks[s] == turn
+                            at[of] = permuted(j[of] % blocks[s], int(blocks[s]), seed * 64 + int(s) * most + int(turn))
+                        yield pd.DataFrame({"shard": np.repeat(rows["shard"].to_numpy()[a:b], own), "source_no": np.int32(s), "block": at})
+
+        # few bytes become many slots: as many parts as slots ask for, which Spark doesn't merge
+        parts = max(1, min(-(-total // (1 << 16)), 20_000))
+        own = counts.select("shard", "source_no", "before", "n").repartition(parts, "shard")
+        return own.mapInPandas(place, "shard long, source_no int, block long")
 
     def mixed(self) -> DataFrame:
         """The mix with its contents: shard, source_no, block, before, first, words."""
@@ -179,7 +188,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     A pass that takes all words keeps the text as it is; otherwise the text is the taken stretches, a line each.
     count_col, if docs have it, is set to the new text's length. Rows that repeat an id are documents of their own.
     """
-    spark, cols = docs.sparkSession, docs.columns
+    cols = docs.columns
     if docs.groupBy(id_col).count().filter(f"count > 1 OR `{id_col}` IS NULL").isEmpty():
         own = docs.withColumn("uid__", F.col(id_col).cast("long"))
     else:
@@ -189,7 +198,6 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     # stretches of one document: as many as it has blocks
     plan = times.groupBy("source_no", "before").agg(F.array_sort(F.collect_list(F.struct("first", "words", "count"))).alias("plan__"))
     plan = plan.hint("merge").join(mix.rows.select("source_no", "before", "size", "uid__").filter("size > 0"), ["source_no", "before"]).select("uid__", "size", "plan__")
-    arrow_rows(spark, 512)
     joined = own.join(plan.hint("merge"), "uid__").select("uid__", F.col(text_col).alias("t__"), "size", "plan__")
 
     def cut(batches):
