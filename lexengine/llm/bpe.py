@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import arrow_rows, most_frequent, released, staged
+from lexengine.llm.common import most_frequent, released, short_plans, staged
 
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
@@ -46,14 +46,18 @@ def matcher(pattern: str):
     return regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
 
 
-def rank_of(ranks: dict[bytes, int]):
-    """A function from a column of pieces to their ranks, null where there is none."""
+def rank_table(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal."""
     buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
     for piece, rank in ranks.items():
         text = piece.decode("latin-1")
         buckets[zlib.crc32(text.encode()) % _BUCKETS][text] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
-    return lambda piece: F.try_element_at(F.get(literal, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int")), piece)
+    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), "array<map<string,int>>")
+
+
+def rank_in(table: Column, piece: Column) -> Column:
+    """The piece's rank, null where there is none."""
+    return F.try_element_at(F.get(table, (F.crc32(piece.cast("binary")) % _BUCKETS).cast("int")), piece)
 
 
 def _let(value: Column, body) -> Column:
@@ -63,8 +67,13 @@ def _let(value: Column, body) -> Column:
 
 def encoded(word: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of a word: its own if it is in the vocabulary; else merges of the least rank, the first one of equals, until none is left."""
-    rank = rank_of(ranks)
     text = F.decode(word.cast("binary"), "ISO-8859-1")
+    # the literal stands in the expression once, and is known to the rest of it by a variable
+    return _let(rank_table(ranks), lambda table: _folded(text, lambda piece: rank_in(table, piece)))
+
+
+def _folded(text: Column, rank) -> Column:
+    """The ids of a text of ISO-8859-1 characters; rank gives a column of pieces their ranks."""
 
     def merged(pieces: Column, found: Column) -> Column:
         def at(k: Column) -> Column:
@@ -147,12 +156,13 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_
     """The most frequent words with their ids, as an Arrow stream: Python objects for each would burden the driver."""
     counts = staged(word_counts(docs, pattern, text_col).filter(F.octet_length("word") <= WORD_BYTES))
     top = most_frequent(counts, words, "word")
-    released(docs.sparkSession)
-    table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids")).toArrow()
+    with short_plans(docs.sparkSession):
+        table = top.select("word").repartition(48, "word").select("word", encoded(F.col("word"), ranks).alias("ids")).toArrow()
     out = pa.BufferOutputStream()
     with pa.ipc.new_stream(out, table.schema) as stream:
         stream.write_table(table)
     released(docs.sparkSession)
+    del table
     return out.getvalue().to_pybytes()
 
 
@@ -160,10 +170,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
     """docs with ids_col, array<int>: the ids of each text, those of its matches one after another.
 
     Null and empty texts have no ids. Every byte has a rank in the vocabulary, so texts of any length decode to
-    themselves. Repeated rows, ties and other columns change nothing.
+    themselves. Repeated rows and ties change nothing, an empty table gives an empty one, and a column of docs that has the
+    name of ids_col is replaced.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
     shared = spark.sparkContext.broadcast((frequent_words(docs, ranks, pattern, text_col, words), ranks))
 
     @F.pandas_udf("array<int>")

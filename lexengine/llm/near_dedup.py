@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import arrow_rows, keyed, released, skew_join, staged, unstaged
+from lexengine.llm.common import keyed, released, skew_join, staged, unstaged
 from lexengine.llm.components import connected_components
 
 #: Coordinates that have lists, and those by which candidates are counted.
@@ -356,7 +356,6 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", size: int
     sets are linked, so repeated rows are; of rows that repeat even the id one is kept. component_id is the smallest id
     of those that can be reached. Other columns are not read, and an empty table gives an empty result.
     """
-    arrow_rows(docs.sparkSession, 256)
     own = keyed(docs, id_col, text_col)
     work, components = linked(own, size, similarity)
     heads = work.classes.select("one", "two", "n", F.col("key").alias("head"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import arrow_rows, held_out
+from lexengine.llm.common import held_out
 
 BITS = 18
 #: Labelled rows of each class that a model is fitted on, at most: those with the smallest hashes of their ids.
@@ -86,7 +86,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample=SAMPLE) -> np.ndarray:
     """Fits on the labelled rows that are not held out, at most sample of each class. Of conflicting labels the lower holds."""
     spark = docs.sparkSession
-    arrow_rows(spark)
     known = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     order = [F.xxhash64("id"), F.col("id")]
@@ -112,7 +111,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 
 def score(docs: DataFrame, weights: np.ndarray, id_col="doc_id", text_col="text") -> DataFrame:
     """id and score of every row. Null and empty texts have no indicators: their score is the bias's."""
-    arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     width = 1 << BITS
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import arrow_rows, keyed, released, skew_join, staged, unstaged
+from lexengine.llm.common import keyed, released, skew_join, staged, unstaged
 
 LENGTH, GRAM = 200, 25
 _ANCHOR = 2 * GRAM
@@ -253,7 +253,6 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFra
     Null texts count as empty; texts under LENGTH bytes have nothing to remove. Of texts that occur twice, as of rows
     that repeat, all of both goes. Other columns are not read, and an empty table gives an empty result.
     """
-    arrow_rows(docs.sparkSession, 256)
     own = keyed(docs, id_col, text_col)
     spans = repeated_spans(own)
     kind = docs.schema[id_col].dataType.simpleString()
