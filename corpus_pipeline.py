@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexengine.llm import bpe
-from lexengine.llm.common import documents, released, staged
+from lexengine.llm.common import documents, free_name, released, staged
 from lexengine.llm.exact_dedup import without_copies
 from lexengine.llm.language_id import in_known_language
 from lexengine.llm.mixing import mixed_documents
@@ -39,12 +39,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, and whether these decode to the text."""
+    """Documents with their ids, and whether these decode to the text. Columns that docs have keep their names; a new one gets an underscore then."""
     released(spark)
     ranks, pattern = vocabulary()
-    out = bpe.encode(docs, ranks, pattern)
-    return out.withColumn("n_tokens", F.size("ids").cast("long")).withColumn(
-        "round_trip", F.sha2(bpe.decoded(F.col("ids"), ranks), 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    ids, n_tokens, round_trip = (free_name(c, docs.columns) for c in ("ids", "n_tokens", "round_trip"))
+    out = bpe.encode(docs, ranks, pattern, ids_col=ids)
+    return out.withColumn(n_tokens, F.size(ids).cast("long")).withColumn(
+        round_trip, F.sha2(bpe.decoded(F.col(ids), ranks), 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
     )
 
 
