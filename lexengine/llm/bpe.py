@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from lexengine.llm.common import most_frequent, released, short_plans, staged
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
 _BUCKETS = 8192
-_FLUSH = 400_000
+_FLUSH = 200_000
 #: White space as the tokenizer's library has it; Python's own class has four more characters.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -176,30 +175,32 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent_words(docs, ranks, pattern, text_col, words), ranks))
 
-    @F.pandas_udf("array<int>")
-    def ids_of(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         stream, ranks = shared.value
-        table = pa.ipc.open_stream(stream).read_all().combine_chunks()
         known: dict[str, bytes] = {}
-        for chunk in table.to_batches():
-            packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
-            known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
+        with pa.ipc.open_stream(stream) as chunks:
+            for chunk in chunks:
+                packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
+                known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
         find, rare = matcher(pattern).findall, {}
         for column in columns:
-            out = []
-            for text in column:
-                words = find(text) if text else []
-                parts = list(map(known.get, words))
-                k = 0
-                for _ in range(parts.count(None)):
-                    k = parts.index(None, k)
-                    if (part := rare.get(words[k])) is None:
-                        if len(rare) > _FLUSH:
-                            rare.clear()
-                        part = rare[words[k]] = array("i", merge(words[k].encode(), ranks)).tobytes()
-                    parts[k] = part
-                out.append(np.frombuffer(b"".join(parts), dtype=np.int32))
-            yield pd.Series(out, dtype=object)
+            out, ends = bytearray(), [0]
+            for start in range(0, len(column), 128):  # few of the texts at once are Python strings
+                for text in column.slice(start, 128).to_pylist():
+                    words = find(text) if text else []
+                    parts = list(map(known.get, words))
+                    k = 0
+                    for _ in range(parts.count(None)):
+                        k = parts.index(None, k)
+                        if (part := rare.get(words[k])) is None:
+                            if len(rare) > _FLUSH:
+                                rare.clear()
+                            part = rare[words[k]] = array("i", merge(words[k].encode(), ranks)).tobytes()
+                        parts[k] = part
+                    out += b"".join(parts)
+                    ends.append(len(out) // 4)
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, dtype=np.int32)))
 
     return docs.withColumn(ids_col, ids_of(F.coalesce(F.col(text_col), F.lit(""))))
 
