@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexengine.llm.common import skew_join, staged, unstaged
 
 
-def _mark(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).collect()[0]
-    return r[0], r[1]
+def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """edges (u, v) staged, and what tells whether they changed: it is observed as they are written."""
+    seen = Observation()
+    out = staged(edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")))
+    return out, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -19,8 +21,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Minima are aggregated before they are joined, so a node with any number of links never needs one task.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    edges = staged(edges)
-    mark = _mark(edges)
+    edges, mark = _marked(edges)
     while True:
         # large star: a node's larger neighbours go to the smallest around it
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -29,9 +30,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of these
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = skew_join(large, least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
-        new = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        unstaged(edges)
-        edges, old, mark = new, mark, _mark(new)
+        old, before = mark, edges
+        edges, mark = _marked(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        unstaged(before)
         if mark == old:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
