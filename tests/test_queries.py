@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from lexengine.plans import catalog
+from lexengine.plans import catalog, results
 
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
@@ -41,6 +41,10 @@ def test_query(spark, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in found.fetchall()), key=repr)
 
 
+def test_results_are_in_the_catalogue():
+    assert results.headwords_of_entries is catalog.QUERIES["headwords_of_entries"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
