@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexengine.staging import staged
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -82,12 +85,12 @@ def matches(current: int, needs: int) -> bool:
     return current == 0 or (current & needs) != 0
 
 
-def closure(language: Language, text: str, limit: int = 100_000) -> list[tuple[str, int, tuple[str, ...]]]:
+def closure(language: Language, text: str) -> list[tuple[str, int, tuple[str, ...]]]:
     """(text, conditions, transforms with the newest first) of all that text may be an inflection of, itself first."""
     out = [(text, 0, ())]
     paths: list[frozenset] = [frozenset()]
     i = 0
-    while i < len(out) and len(out) < limit:
+    while i < len(out):
         current, conditions, trace = out[i]
         for name, rules in language.transforms.items():
             for k, rule in enumerate(rules):
@@ -109,29 +112,37 @@ def rule_table(spark: SparkSession, languages: list[Language]) -> DataFrame:
     return spark.createDataFrame([r for l in languages for r in l.rows()], RULES)
 
 
-def deinflected(words: DataFrame, rules: DataFrame, longest: int, depth: int = 2) -> DataFrame:
-    """words (language, source) with all that they may inflect from: text, conditions, trace, depth.
+def deinflected(words: DataFrame, rules: list[tuple]) -> DataFrame:
+    """words (language, source) with all that they may inflect from: text, conditions, trace (newest first), depth; themselves first.
 
-    Rules are a table of settings, which does not grow with the words. longest: of the rules' inflected texts.
+    rules are rows as ``Language.rows`` gives them, a table of settings, which does not grow with the words. Levels are added
+    until one is empty. A rule is not applied twice to one text in a chain, so that circles end.
     """
-    small = F.broadcast(rules.withColumnRenamed("language", "lang__"))
-    level = words.select("language", "source", F.col("source").alias("text"), F.lit(0).alias("conditions"), F.lit("").alias("trace"), F.lit(0).alias("depth"))
-    all_ = level
-    for d in range(1, depth + 1):
-        n = F.length("text")
-        ends = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(longest))), lambda k: F.struct(F.lit("suffix").alias("k"), F.substring(F.col("text"), n - k + 1, k).alias("t")))
-        starts = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(longest))), lambda k: F.struct(F.lit("prefix").alias("k"), F.substring(F.col("text"), F.lit(1), k).alias("t")))
-        keys = F.concat(ends, starts, F.array(F.struct(F.lit("whole").alias("k"), F.col("text").alias("t"))))
-        on = (F.col("language") == F.col("lang__")) & (F.col("key.k") == F.col("kind")) & (F.col("key.t") == F.col("inflected"))
-        hits = level.withColumn("key", F.explode(keys)).join(small, on)
-        hits = hits.filter((F.col("conditions") == 0) | (F.col("conditions").bitwiseAND(F.col("needs")) != 0))
-        size = F.length("inflected")
-        new = (
-            F.when(F.col("kind") == "suffix", F.concat(F.substring(F.col("text"), F.lit(1), n - size), F.col("deinflected")))
-            .when(F.col("kind") == "prefix", F.concat(F.col("deinflected"), F.substring(F.col("text"), size + 1, n)))
-            .otherwise(F.col("deinflected"))
-        )
-        trace = F.when(F.col("trace") == "", F.col("transform")).otherwise(F.concat_ws("<", "transform", "trace"))
-        level = hits.select("language", "source", new.alias("text"), F.col("gives").alias("conditions"), trace.alias("trace"), F.lit(d).alias("depth"))
-        all_ = all_.unionByName(level)
-    return all_
+    small = F.broadcast(words.sparkSession.createDataFrame(rules, RULES).withColumnRenamed("language", "lang__"))
+    # a text is looked up by those of its ends, and whole, that any rule has
+    sizes = {kind: sorted({len(r[4]) for r in rules if r[3] == kind}) for kind in ("suffix", "prefix", "whole")}
+    n, size = F.length("text"), F.length("inflected")
+
+    def key(kind: str, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("k"), text.alias("t"))
+
+    keys = [key("suffix", F.when(n >= k, F.substring(F.col("text"), n - k + 1, F.lit(k)))) for k in sizes["suffix"]]
+    keys += [key("prefix", F.when(n >= k, F.substring(F.col("text"), 1, k))) for k in sizes["prefix"]]
+    keys += [key("whole", F.col("text"))] if sizes["whole"] else []
+    on = (F.col("language") == F.col("lang__")) & (F.col("key.k") == F.col("kind")) & (F.col("key.t") == F.col("inflected"))
+    step = F.concat_ws("\x1f", "transform", F.col("no").cast("string"), "text")
+    new = (
+        F.when(F.col("kind") == "suffix", F.concat(F.substring(F.col("text"), F.lit(1), n - size), F.col("deinflected")))
+        .when(F.col("kind") == "prefix", F.concat(F.col("deinflected"), F.substring(F.col("text"), size + 1, n)))
+        .otherwise(F.col("deinflected"))
+    )
+    trace = F.when(F.col("trace") == "", F.col("transform")).otherwise(F.concat_ws("<", "transform", "trace"))
+    path = F.array().cast("array<string>").alias("path")
+    level = words.select("language", "source", F.col("source").alias("text"), F.lit(0).alias("conditions"), F.lit("").alias("trace"), F.lit(0).alias("depth"), path)
+    levels = []
+    while keys and (not levels or not level.isEmpty()):
+        levels.append(level.drop("path"))
+        hits = level.withColumn("key", F.explode(F.array(*keys))).join(small, on)
+        hits = hits.filter(((F.col("conditions") == 0) | (F.col("conditions").bitwiseAND(F.col("needs")) != 0)) & ~F.array_contains("path", step))
+        level = staged(hits.select("language", "source", new.alias("text"), F.col("gives").alias("conditions"), trace.alias("trace"), F.lit(len(levels)).alias("depth"), F.array_append("path", step).alias("path")))
+    return reduce(DataFrame.unionByName, levels or [level.drop("path")])

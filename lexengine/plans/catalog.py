@@ -26,7 +26,7 @@ terms AS (SELECT p_partkey AS id, p_type AS dictionary, p_name AS expression, sp
 keys AS (SELECT expression AS key, 0 AS src, id, dictionary FROM terms UNION ALL SELECT reading, 1, id, dictionary FROM terms)"""
 F_SQL = """freq AS (SELECT l_returnflag AS dictionary, p_name AS expression, count(*) AS frequency FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 TAG_SQL = """tags AS (SELECT DISTINCT dictionary, tag AS name, CAST(split_part(tag, '#', 2) AS INTEGER) AS ord FROM terms WHERE CAST(split_part(tag, '#', 2) AS INTEGER) <= 20)"""
-W_SQL = """words AS (SELECT DISTINCT lang AS language, lower(w) AS source FROM (SELECT lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents))"""
+W_SQL = """words AS (SELECT DISTINCT lang AS language, lower(w) AS source FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM documents))"""
 
 
 def _values(rows) -> str:
@@ -267,23 +267,22 @@ def _rules(name):
     return inflections.LANGUAGES[name].rows()
 
 
-def _deinflect_sql(name: str, depth: int = 2) -> str:
+def _deinflect_sql(name: str) -> str:
     rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in _rules(name))
     return f"""WITH RECURSIVE {W_SQL}, rules(language, transform, no, kind, inflected, deinflected, needs, gives) AS (VALUES {rows}),
-d AS (SELECT source, source AS text, 0 AS conditions, '' AS trace, 0 AS depth FROM words WHERE language = '{name}'
+d AS (SELECT source, source AS text, 0 AS conditions, '' AS trace, 0 AS depth, CAST([] AS VARCHAR[]) AS path FROM words WHERE language = '{name}'
       UNION ALL
       SELECT source, CASE kind WHEN 'suffix' THEN left(text, length(text) - length(inflected)) || deinflected WHEN 'prefix' THEN deinflected || substr(text, length(inflected) + 1) ELSE deinflected END,
-             gives, CASE WHEN trace = '' THEN transform ELSE transform || '<' || trace END, depth + 1
+             gives, CASE WHEN trace = '' THEN transform ELSE transform || '<' || trace END, depth + 1, list_append(path, transform || '|' || no || '|' || text)
       FROM d JOIN rules ON CASE kind WHEN 'suffix' THEN suffix(text, inflected) WHEN 'prefix' THEN starts_with(text, inflected) ELSE text = inflected END
-      WHERE depth < {depth} AND (conditions = 0 OR (conditions & needs) <> 0)),
+      WHERE (conditions = 0 OR (conditions & needs) <> 0) AND NOT list_contains(path, transform || '|' || no || '|' || text)),
 g AS (SELECT source, text, conditions, trace, depth, count(*) AS n FROM d GROUP BY ALL) SELECT * FROM g"""
 
 
 def _deinflect(name: str):
     def run(spark, d):
         words = M.words(spark, d).filter(F.col("language") == name)
-        rules = spark.createDataFrame(_rules(name), deinflect.RULES)
-        out = deinflect.deinflected(words, rules, max(len(r[4]) for r in _rules(name)))
+        out = deinflect.deinflected(words, _rules(name))
         return out.groupBy("source", "text", "conditions", "trace", "depth").agg(F.count("*").alias("n"))
 
     run.__name__ = f"deinflect_{name}"
@@ -294,16 +293,15 @@ for _name in ("en", "de", "es", "fr"):
     _deinflect(_name)
 
 
-def _english_bases(spark, d, depth=1):
+def _english_bases(spark, d):
     """Words of English texts with those of them that they inflect from."""
     words = M.words(spark, d).filter("language = 'en'")
-    rules = spark.createDataFrame(_rules("en"), deinflect.RULES)
-    out = deinflect.deinflected(words, rules, max(len(r[4]) for r in _rules("en")), depth).filter("depth > 0")
+    out = deinflect.deinflected(words, _rules("en")).filter("depth > 0")
     known = words.select(F.col("source").alias("text"))
     return out.join(known, "text").select("source", F.col("text").alias("term"), "conditions", "trace")
 
 
-_BASES = _deinflect_sql("en", 1).replace("g AS (", "g0 AS (").rsplit(" SELECT * FROM g", 1)[0]
+_BASES = _deinflect_sql("en").replace("g AS (", "g0 AS (").rsplit(" SELECT * FROM g", 1)[0]
 
 
 @query(_BASES + ", b AS (SELECT DISTINCT source, text AS term FROM d WHERE depth > 0 AND text IN (SELECT source FROM words WHERE language = 'en')), m AS (SELECT term, max(length(source)) AS source_length FROM b GROUP BY term) SELECT b.term, CAST(source_length AS INTEGER) AS source_length, string_agg(source, ',' ORDER BY source) AS sources FROM b JOIN m ON b.term = m.term AND length(source) = source_length GROUP BY ALL")

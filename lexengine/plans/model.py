@@ -48,5 +48,5 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """language, source: the distinct words of the texts, in lower case."""
     docs = table(spark, sf_dir, "documents")
-    found = docs.select(F.col("lang").alias("language"), F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    found = docs.select(F.col("lang").alias("language"), F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
     return found.select("language", F.lower("w").alias("source")).distinct()
