@@ -229,3 +229,84 @@ def furigana_inflected(term: str, reading: str, source: str) -> list[tuple[str,
     stem = reading[: len(reading) - cut] if cut else reading
     out = furigana(term[:by_term], stem) if by_term else []
     return [*out, *([(source[by_term:], "")] if by_term < len(source) else [])]
+
+
+#: Latin letters of the kana, row by row of the table of sounds, without the vowel.
+_ROWS = {
+    "": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど", "n": "なにぬねの",
+    "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "r": "らりるれろ",
+}
+#: Kana whose letters the table does not give.
+_ODD = {"し": "shi", "ち": "chi", "つ": "tsu", "ふ": "fu", "じ": "ji", "ぢ": "ji", "づ": "zu", "や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "ゐ": "i", "ゑ": "e", "を": "o", "ゔ": "vu"}
+_SMALL = {"ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "ゎ": "wa"}
+_LETTERS = {c: r + v for r, cs in _ROWS.items() for c, v in zip(cs, "aiueo")} | _ODD
+
+
+def to_romaji(text: str) -> str:
+    """Kana in Latin letters; other characters stay. A small tsu doubles the next consonant, n is set off before a vowel."""
+    kana, out = to_hiragana(text, keep_prolonged=True), []
+    for i, c in enumerate(kana):
+        if c in _SMALL and out and i and kana[i - 1] in _LETTERS and _LETTERS[kana[i - 1]]:
+            before, own = out.pop(), _SMALL[c]
+            stem = before[:-1]
+            out.append(stem + (own[1:] if own[0] == "y" and stem.endswith(("sh", "ch", "j")) else own))
+        elif c == "っ":
+            ahead = _LETTERS.get(kana[i + 1 : i + 2], "")
+            out.append("t" if ahead.startswith("ch") else ahead[:1] if ahead[:1] not in ("", *"aiueo") else "")
+        elif c == "ん":
+            out.append("n'" if _LETTERS.get(kana[i + 1 : i + 2], "x")[0] in "aiueoy" else "n")
+        elif c == "ー" and out and out[-1]:
+            out.append(out[-1][-1])
+        else:
+            out.append(_LETTERS.get(c, _SMALL.get(c, c)))
+    return "".join(out)
+
+
+def from_romaji(text: str) -> str:
+    """Latin letters as hiragana, the longest spelling first; what is none stays."""
+    spelled: dict[str, str] = {}
+    for c, letters in _LETTERS.items():
+        spelled.setdefault(letters, c)
+        if len(letters) > 1 and letters.endswith("i"):  # with a small y-sound behind it
+            stem = letters[:-1]
+            for small in "ゃゅょ":
+                spelled.setdefault(stem + (_SMALL[small][1:] if stem in ("sh", "ch", "j") else _SMALL[small]), c + small)
+    for row, cs in _ROWS.items():  # spellings by the table, such as si and tu
+        for c, v in zip(cs, "aiueo"):
+            spelled.setdefault(row + v, c)
+    out, i, low = [], 0, text.lower()
+    while i < len(low):
+        for size in (4, 3, 2, 1):
+            if kana := spelled.get(low[i : i + size]):
+                out.append(kana)
+                i += size
+                break
+        else:
+            c, ahead = low[i], low[i + 1 : i + 2]
+            if c == "n" and ahead != "y":
+                out.append("ん")
+                i += 1 + (ahead == "'") + (ahead == "n" and low[i + 2 : i + 3] not in tuple("aiueoy"))
+            elif c == ahead and c.isascii() and c.isalpha() or (c == "t" and low[i + 1 : i + 3] == "ch"):
+                out.append("っ")
+                i += 1
+            else:
+                out.append("ー" if c == "-" else text[i])
+                i += 1
+    return "".join(out)
+
+
+def kana_script(c: str) -> str | None:
+    """hiragana or katakana, if a character is either."""
+    return "hiragana" if 0x3041 <= ord(c) <= 0x309F else "katakana" if 0x30A0 <= ord(c) <= 0x30FF or 0xFF66 <= ord(c) <= 0xFF9F else None
+
+
+def kana_diacritic(c: str) -> tuple[str, str] | None:
+    """The kana below a diacritic, and its name."""
+    parts = unicodedata.normalize("NFD", c)
+    name = {"\u3099": "dakuten", "\u309a": "handakuten"}.get(parts[1:])
+    return (parts[0], name) if name else None
+
+
+def is_korean(c: str) -> bool:
+    """Whether a character is a Korean syllable or letter."""
+    return in_ranges(c, ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)))

@@ -30,20 +30,26 @@ def _source() -> Column:
     return F.when(F.col("src") == 0, "term").otherwise("reading").alias("match_source")
 
 
+def batch(queries: DataFrame, most: int = 100_000) -> DataFrame:
+    """queries, to be broadcast if there are at most so many, so that the index streams by; larger batches are shuffled with it."""
+    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
+
+
 def _firsts(queries: DataFrame) -> DataFrame:
-    return queries.groupBy("term").agg(F.min("pos").alias("first_pos"))
+    return batch(queries.groupBy("term").agg(F.min("pos").alias("first_pos")))
 
 
 def find_exact(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """Each id once, for the first query and source that reaches it, repeated for every place of that query."""
     hits = _firsts(queries).join(keys, F.col("term") == F.col("key"))
     won = hits.groupBy("id", "dictionary").agg(F.min(F.struct("first_pos", "src", "term")).alias("w")).select("id", "dictionary", "w.src", "w.term")
-    return queries.join(won, "term").select("pos", "term", "id", "dictionary", _source(), F.lit("exact").alias("match_type"))
+    return batch(queries).join(won, "term").select("pos", "term", "id", "dictionary", _source(), F.lit("exact").alias("match_type"))
 
 
 def _by_prefix(queries: DataFrame, keys: DataFrame, value: Column, wanted: Column) -> DataFrame:
-    q = _firsts(queries.filter("term != ''")).withColumn("want", wanted)
+    q = queries.filter("term != ''").groupBy("term").agg(F.min("pos").alias("first_pos")).withColumn("want", wanted)
     q = q.withColumn("n", F.least(F.length("want"), F.lit(PREFIX))).withColumn("head", F.substring(F.col("want"), F.lit(1), F.col("n")))
+    q = batch(q)
     k = keys.withColumn("value", value)
     k = k.select("*", F.explode(F.sequence(F.lit(1), F.lit(PREFIX))).alias("n")).filter(F.length("value") >= F.col("n"))
     hits = q.join(k.withColumn("head", F.substring(F.col("value"), F.lit(1), F.col("n"))), ["n", "head"]).filter(F.col("value").startswith(F.col("want")))
@@ -66,7 +72,7 @@ def find_suffix(queries: DataFrame, keys: DataFrame) -> DataFrame:
 def find_pairs(pairs: DataFrame, terms: DataFrame) -> DataFrame:
     """Terms with both expression and reading of a query (pos, term, reading)."""
     on = (pairs["term"] == terms["expression"]) & (pairs["reading"] == terms["reading"])
-    return pairs.join(terms, on).select("pos", "term", pairs["reading"], "id", "dictionary")
+    return batch(pairs).join(terms, on).select("pos", "term", pairs["reading"], "id", "dictionary")
 
 
 def find_sequences(queries: DataFrame, terms: DataFrame) -> DataFrame:

@@ -95,6 +95,38 @@ def test_database(spark, tmp_path):
     assert not db.has("terms")
 
 
+def test_database_maintenance(spark, tmp_path):
+    rows = lambda n: {"terms": [(f"w{i}", "A" if i % 2 else "B") for i in range(n)], "media": [("A", "x.png", b"1"), ("B", "y.png", b"2")]}
+    made = rows(20)
+    empty = spark.createDataFrame([], "dictionary string")
+    tables = database.Tables(
+        spark.createDataFrame([("A", "r1", True), ("B", "r1", True)], "title string, revision string, importSuccess boolean"),
+        spark.createDataFrame(made["terms"], "expression string, dictionary string"), empty, empty, empty, empty,
+        spark.createDataFrame(made["media"], "dictionary string, path string, content binary"),
+    )
+    db = database.Database(spark, f"file://{tmp_path}/db")
+    db.add(tables)
+    assert db.update("A", revision="r2") == 1 and db.update("none", revision="r2") == 0
+    assert {(r.title, r.revision) for r in db.table("dictionaries").collect()} == {("A", "r2"), ("B", "r1")}
+    with pytest.raises(ValueError):
+        db.update("A", nothing=1)
+    db.rename("B", "C d")
+    assert db.titles() == ["A", "C d"] and db.table("terms").filter("dictionary = 'C d'").count() == 10 and db.probe("C d").startswith("w")
+    db.replace("A", "C d")
+    assert db.titles() == ["A"] and db.table("terms").count() == 10 and db.table("dictionaries").first().revision == "r1"
+    wanted = spark.createDataFrame([(1, "A", "y.png"), (2, "A", "y.png"), (3, "A", "none")], "k int, dictionary string, path string")
+    assert {(r.k, bytes(r.content) if r.content else None) for r in db.media(wanted).collect()} == {(1, b"2"), (2, b"2"), (3, None)}
+    ids = [r.id for r in db.with_ids("terms", spark.range(500).withColumnRenamed("id", "n").withColumn("m", F.col("n") % 7)).collect()]
+    assert sorted(ids) == list(range(1, 501))
+    db.export(f"file://{tmp_path}/out")
+    db.update("A", importSuccess=False)
+    assert db.cleaned() == ["A"] and db.titles() == []
+    database.restored(f"file://{tmp_path}/out", db)
+    assert db.titles() == ["A"] and db.table("terms").count() == 10
+    index = spark.createDataFrame([("A", "1", "https://a.example/i.json", "http://a.example/d.zip"), ("B", "2", "ftp://x", None)], "title string, revision string, indexUrl string, downloadUrl string")
+    assert {(r.title, r.n_terms, r.updatable) for r in database.summary(index, tables.terms).collect()} == {("A", 10, True), ("B", 10, False)}
+
+
 def test_streamed_import(spark, tmp_path):
     (tmp_path / "banks").mkdir()
     at = [str(tmp_path / x) for x in ("banks", "out", "state")]

@@ -1,14 +1,14 @@
 import random
 from collections import Counter
 
+import pytest
+
 from lexengine.functions import japanese as J
 from lexengine.functions import text as T
 from lexengine.functions.inflections import ENGLISH, GERMAN, JAPANESE, LANGUAGES, SPANISH
 from lexengine.operators import tokens
 from lexengine.operators.deinflect import Language, closure
 
-import pytest
-
 
 @pytest.mark.parametrize(
     ("language", "source", "term", "reason"),
@@ -139,3 +139,35 @@ def test_merged_lookup_gives_all_entries(spark):
 
     out = catalog.find_terms_merge(spark, "/root/testdata/sf0.01")
     assert out.agg({"rank": "max"}).first()[0] > 10
+
+
+def test_kana_and_letters():
+    from lexengine.functions import japanese as J
+
+    pairs = {"きゃ": "kya", "しゅ": "shu", "がっこう": "gakkou", "まっちゃ": "matcha", "しんよう": "shin'you", "さんぽ": "sanpo", "ちょうちん": "chouchin", "つき": "tsuki", "ふじ": "fuji"}
+    for kana, letters in pairs.items():
+        assert J.to_romaji(kana) == letters and J.from_romaji(letters) == kana
+    assert J.to_romaji("カード abc") == "kaado abc" and J.from_romaji("Tsuki 1") == "つき 1" and J.from_romaji("situ") == "しつ"
+    assert [J.kana_script(c) for c in "あアｱ漢"] == ["hiragana", "katakana", "katakana", None]
+    assert J.kana_diacritic("が") == ("か", "dakuten") and J.kana_diacritic("ぱ") == ("は", "handakuten") and J.kana_diacritic("か") is None
+    assert J.is_korean("한") and J.is_korean("ㅏ") and not J.is_korean("字")
+
+
+def test_template_operators(spark):
+    from pyspark.sql import functions as F
+
+    from lexengine.functions import content as C
+
+    def value(column):
+        return spark.range(1).select(column.alias("v")).first().v
+
+    one, two, zero = F.lit(5), F.lit(2), F.lit(0)
+    got = [value(C.op(name, one, two)) for name in ("+", "-", "*", "/", "%", "**", "==", "!==", "<", ">=", "<<", ">>", "&", "|", "^", "&&", "||")]
+    assert got == [7, 3, 10, 2.5, 1, 25.0, False, True, False, True, 20, 1, 0, 7, 7, 2, 5]
+    assert value(C.op("/", one, zero)) is None and value(C.op("?:", F.lit(True), one, two)) == 5 and value(C.op("-", one)) == -5
+    with pytest.raises(ValueError):
+        C.op("?", one)
+    json = F.lit('{"a": [1, {"b": "x"}], "c": null}')
+    assert value(C.property_of(json, "a", 1, "b")) == "x" and value(C.property_of(json, "z")) is None
+    assert [value(C.kind_of(F.lit(t))) for t in ('{"a":1}', "[1]", '"x"', "1.5", "true", "{")] == ["object", "object", "string", "number", "boolean", "undefined"]
+    assert value(C.joined("-", F.lit("a"), F.lit(None), F.lit(3))) == "a-3" and value(F.size(C.spread(F.array(F.lit(1)), F.array(F.lit(2), F.lit(3))))) == 3
