@@ -52,8 +52,11 @@ def op6_token_totals(spark, sf_dir):
     totals.commit("toxic go", marked.filter("toxic = 1 AND NOT revised").withColumn("sign", F.lit(-1)))
     low = marked.filter("quality = 0 AND toxic = 0")
     totals.commit("low quality revised", low.withColumn("sign", F.when(F.col("revised"), 1).otherwise(-1)))
+    totals.compact()
     totals.commit("come", came)
-    return token_totals.rollup(totals.totals())
+    out = staged(token_totals.rollup(totals.totals()))
+    totals.drop()
+    return out
 
 
 def op7_remove_repeats(spark, sf_dir):

@@ -356,11 +356,32 @@ def test_token_totals(spark, docs, rows, tmp_path):
     totals.commit("revised", token_totals.counted(docs, sign=-1).unionByName(token_totals.counted(revised)))
     per = Counter((s, l) for _, _, l, s in rows)
     assert words() == {k: n + 2 * per[k] for k, n in expected.items()}
+    totals.compact()
+    assert words() == {k: n + 2 * per[k] for k, n in expected.items()} and not totals.commit("one", came)
+    # a second writer of a name that was taken meanwhile is refused, and leaves nothing
+    late = token_totals.TokenTotals(spark, f"file://{tmp_path}/t")
+    late.committed = lambda batch: False
+    assert not late.commit("one", came) and len(list((tmp_path / "t" / "deltas").iterdir())) == 3
+    assert totals.commit("a/b *?", token_totals.counted(docs.limit(0))) and totals.committed("a/b *?") and not totals.committed("a")
+    with pytest.raises(ValueError):
+        totals.commit("", came)
     totals.commit("gone", token_totals.counted(revised, sign=-1))
+    totals.compact()
     assert totals.totals().count() == 0
     assert token_totals.rollup(totals.totals()).count() == 0
 
 
+def test_pieces_are_counted_as_the_library_does(docs, rows):
+    from lexengine.llm.queries import vocabulary
+
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks, pattern = vocabulary()
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    out = token_totals.counted_pieces(docs, ranks, pattern, "multi")
+    assert out.columns == [*docs.columns, "tokenizer_version", "tokens", "sign"]
+    assert Counter((r.doc_id, r.tokens) for r in out.collect()) == Counter((i, len(own.encode_ordinary(t or ""))) for i, t, *_ in rows)
+
+
 def test_pii(spark):
     texts = {
         1: "Write to jane.doe@mail.example.com or +1 (807) 555-6237 from 10.1.2.3.",
