@@ -45,7 +45,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    with short_plans(spark):
+    with short_plans(spark), small_batches(spark):
         df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -86,17 +86,26 @@ def numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
 
 
 @contextlib.contextmanager
-def short_plans(spark: SparkSession, most: int = 4096) -> Iterator[None]:
-    """Within, descriptions of plans are cut: the driver keeps one for each query, and large literals stand in it again and again."""
-    key = "spark.sql.maxPlanStringLength"
+def _within(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session that holds inside, and is put back."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def short_plans(spark: SparkSession, most: int = 4096):
+    """Within, descriptions of plans are cut: the driver keeps one for each query, and large literals stand in it again and again."""
+    return _within(spark, "spark.sql.maxPlanStringLength", str(most))
+
+
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Within, Python workers get so many rows at once, so that neither they nor the JVM hold a whole partition's texts."""
+    return _within(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def free_name(name: str, columns: Iterable[str]) -> str:
     """name, with as many underscores as it takes to clash with no column."""
     taken = {c.lower() for c in columns}
