@@ -27,7 +27,7 @@ from lexengine.llm.common import most_frequent, released, short_plans, staged
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
 _BUCKETS = 8192
-_FLUSH = 200_000
+_FLUSH = 50_000
 #: White space as the tokenizer's library has it; Python's own class has four more characters.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 
