@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexengine.functions import japanese as J
 from lexengine.functions.text import sentence_at
-from lexengine.llm.common import skew_join, staged
+from lexengine.staging import skew_join, staged
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Terms with readings and places of their downstep.

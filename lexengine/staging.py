@@ -1,4 +1,4 @@
-"""Tables between steps: written to the folder that driver and executors share, so that lost executors cost nothing before them."""
+"""Tables between steps, and joins that can be split. Tables are written to the folder that driver and executors share, so that lost executors cost nothing before them."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -25,3 +26,9 @@ def staged(df: DataFrame) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and right joined on keys, dealt out once more by a key made of the others, so that Spark can split a frequent one's rows."""
+    part = F.pmod(F.xxhash64(*keys), F.lit(2)).alias("part__")
+    return left.select("*", part).join(right.select("*", part), [*keys, "part__"], how).drop("part__")

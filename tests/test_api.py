@@ -10,3 +10,11 @@ def test_service(spark):
     assert [x["text"] for x in s.call("tokenize", {"text": "walk home"})[1][0]["content"]] == ["walk", " ", "home"]
     assert s.call("kanjiEntries", {"character": "a"}) == (200, [])
     assert s.call("nothing", {})[0] == 400 and s.call("termEntries", {"wrong": 1})[0] == 500
+
+
+def test_the_library_stands_without_its_llm_part():
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent / "lexengine"
+    others = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
+    assert others and not [p.name for p in others if "lexengine.llm" in p.read_text()]
