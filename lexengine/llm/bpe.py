@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +167,23 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_
     return out.getvalue().to_pybytes()
 
 
+_held: dict[str, tuple[dict[str, bytes], dict[str, bytes], dict[bytes, int]]] = {}
+
+
+def _tables(key: str, shared: Broadcast) -> tuple[dict[str, bytes], dict[str, bytes], dict[bytes, int]]:
+    """Ids of the frequent words, ids of the words merged so far, and the ranks: made once by a worker, not by each of its tasks."""
+    if key not in _held:
+        _held.clear()
+        stream, ranks = shared.value
+        known: dict[str, bytes] = {}
+        with pa.ipc.open_stream(stream) as chunks:
+            for chunk in chunks:
+                packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
+                known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
+        _held[key] = known, {}, ranks
+    return _held[key]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", ids_col="ids", words=WORDS) -> DataFrame:
     """docs with ids_col, array<int>: the ids of each text, those of its matches one after another.
 
@@ -174,16 +193,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent_words(docs, ranks, pattern, text_col, words), ranks))
+    key = uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        stream, ranks = shared.value
-        known: dict[str, bytes] = {}
-        with pa.ipc.open_stream(stream) as chunks:
-            for chunk in chunks:
-                packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
-                known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
-        find, rare = matcher(pattern).findall, {}
+        known, rare, ranks = _tables(key, shared)
+        find = matcher(pattern).findall
         for column in columns:
             out, ends = bytearray(), [0]
             for start in range(0, len(column), 128):  # few of the texts at once are Python strings
