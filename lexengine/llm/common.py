@@ -26,7 +26,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where the session has none (local tests), a temporary folder is set as the checkpoint folder.
+    Only a local session may have none: a temporary folder is set as its checkpoint folder.
     """
     if said := spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext.getCheckpointDir() is None:
@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
         return said
     if found := spark.sparkContext.getCheckpointDir():
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexengine-"))
     return spark.sparkContext.getCheckpointDir()
 
