@@ -43,7 +43,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     released(spark)
     ranks, pattern = vocabulary()
     ids, n_tokens, round_trip = (free_name(c, docs.columns) for c in ("ids", "n_tokens", "round_trip"))
-    out = bpe.encode(docs, ranks, pattern, ids_col=ids)
+    # staged, so that Python workers get few rows at once whatever the session's batches are
+    out = staged(bpe.encode(docs, ranks, pattern, ids_col=ids))
     return out.withColumn(n_tokens, F.size(ids).cast("long")).withColumn(
         round_trip, F.sha2(bpe.decoded(F.col(ids), ranks), 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
     )

@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -167,21 +166,20 @@ def frequent_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_
     return out.getvalue().to_pybytes()
 
 
-_held: dict[str, tuple[dict[str, bytes], dict[str, bytes], dict[bytes, int]]] = {}
+def _tables(shared: Broadcast) -> tuple[dict[str, bytes], dict[str, bytes], dict[bytes, int]]:
+    """Ids of the frequent words, ids of the words merged so far, and the ranks: made once by a worker, not by each of its tasks.
 
-
-def _tables(key: str, shared: Broadcast) -> tuple[dict[str, bytes], dict[str, bytes], dict[bytes, int]]:
-    """Ids of the frequent words, ids of the words merged so far, and the ranks: made once by a worker, not by each of its tasks."""
-    if key not in _held:
-        _held.clear()
+    They lie with the worker's copy of the broadcast, which it lets go of at its next task that has no use for it.
+    """
+    if not hasattr(shared, "tables"):
         stream, ranks = shared.value
         known: dict[str, bytes] = {}
         with pa.ipc.open_stream(stream) as chunks:
             for chunk in chunks:
                 packed, ends = chunk["ids"].flatten().to_numpy().astype(np.int32).tobytes(), np.cumsum(chunk["ids"].value_lengths().to_numpy()) * 4
-                known |= {w: packed[a:b] for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist())}
-        _held[key] = known, {}, ranks
-    return _held[key]
+                known.update((w, packed[a:b]) for w, a, b in zip(chunk["word"].to_pylist(), [0, *ends.tolist()], ends.tolist()))
+        shared.tables = known, {}, ranks
+    return shared.tables
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", ids_col="ids", words=WORDS) -> DataFrame:
@@ -193,11 +191,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((frequent_words(docs, ranks, pattern, text_col, words), ranks))
-    key = uuid.uuid4().hex
 
     @F.arrow_udf("array<int>")
     def ids_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known, rare, ranks = _tables(key, shared)
+        known, rare, ranks = _tables(shared)
         find = matcher(pattern).findall
         for column in columns:
             out, ends = bytearray(), [0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import skew_join, staged, unstaged
+from lexengine.llm.common import released, skew_join, staged, unstaged
 
 
 def _marked(edges: DataFrame) -> tuple[DataFrame, tuple]:
@@ -33,6 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         old, before = mark, edges
         edges, mark = _marked(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         unstaged(before)
+        # small tables are broadcast to the joins, and each stays in all executors until the driver collects garbage
+        released(edges.sparkSession)
         if mark == old:
             break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -342,6 +342,36 @@ def test_bpe(spark, docs, rows):
         assert [i for w in bpe.matcher(pattern).findall(text) for i in bpe.merge(w.encode(), ranks)] == own.encode_ordinary(text)
 
 
+def test_bpe_workers_let_go_of_their_tables(spark, docs):
+    """Once the workers do something else, none of them holds the words of an encoding."""
+    from lexengine.llm.queries import vocabulary
+
+    ranks, pattern = vocabulary()
+    marked = docs.withColumn("text", F.concat("text", F.lit(" qzxmark")))
+    assert marked.select("text").repartition(4).transform(lambda d: bpe.encode(d, ranks, pattern)).filter("size(ids) > 0").count()
+
+    def held(batches):
+        import gc
+        import sys
+        import types
+
+        for batch in batches:
+            seen, todo, found = set(), [m for n, m in sys.modules.items() if n.startswith(("lexengine", "pyspark.core.broadcast"))], False
+            todo += [o for o in gc.get_objects() if type(o).__name__ == "Broadcast"]
+            while todo:
+                o = todo.pop()
+                if id(o) in seen or isinstance(o, type) or isinstance(o, types.ModuleType) and not o.__name__.startswith(("lexengine", "pyspark.core.broadcast")):
+                    continue
+                seen.add(id(o))
+                if type(o) is dict:
+                    found |= " qzxmark" in o
+                if type(o) in (dict, tuple, list, types.ModuleType) or type(o).__name__ == "Broadcast":
+                    todo += gc.get_referents(o)
+            yield batch.slice(0, int(found))
+
+    assert spark.range(0, 16, numPartitions=16).mapInArrow(held, "id long").count() == 0
+
+
 def test_token_totals(spark, docs, rows, tmp_path):
     totals = token_totals.TokenTotals(spark, f"file://{tmp_path}/t")
     assert totals.totals().count() == 0
@@ -478,6 +508,14 @@ def test_pipeline(spark):
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
 
 
+def test_pipeline_encodes_in_small_batches(spark, docs):
+    """Texts go to Python workers before the last stage returns, in its own batches: a session's batch may be a whole partition."""
+    import corpus_pipeline
+
+    out = corpus_pipeline.tokens(spark, docs, None)
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pipeline_on_nulls_repeats_and_clashing_names(spark, docs, rows):
     """Its stages take what operators take; columns of its own keep their values."""
     import corpus_pipeline
