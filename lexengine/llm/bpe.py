@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import most_frequent, released, short_plans, staged
+from lexengine.llm.common import most_frequent, released, short_plans, staged, trimmed
 
 #: Most frequent words whose ids are broadcast, and the bytes that one may have; the product bounds the broadcast.
 WORDS, WORD_BYTES = 1 << 18, 48
@@ -213,6 +213,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="tex
                     out += b"".join(parts)
                     ends.append(len(out) // 4)
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(out, dtype=np.int32)))
+        trimmed()
 
     return docs.withColumn(ids_col, ids_of(F.coalesce(F.col(text_col), F.lit(""))))
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +110,23 @@ def small_batches(spark: SparkSession, rows: int = 256):
     return _within(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trimmed() -> None:
+    """Gives this process's free memory back to the system: allocators keep it, and Python workers stay beside later steps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches whose worker is trimmed after each task."""
+
+    def inside(batches):
+        yield from run(batches)
+        trimmed()
+
+    return inside
+
+
 def free_name(name: str, columns: Iterable[str]) -> str:
     """name, with as many underscores as it takes to clash with no column."""
     taken = {c.lower() for c in columns}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexengine.llm.common import held_out, keyed, most_frequent, skew_join, staged
+from lexengine.llm.common import held_out, keyed, most_frequent, skew_join, staged, tidy
 
 #: Words whose rows are broadcast; the others get the same rows by joins, so that this changes no result.
 CACHED, ORDERS = 1 << 17, (5, 4, 3, 2, 1)
@@ -126,6 +126,7 @@ def _predicted(own: DataFrame, model: Model) -> DataFrame:
     table = most_frequent(model.words, CACHED, "entry").drop("n").toArrow().combine_chunks()
     cached = spark.sparkContext.broadcast((table["entry"].combine_chunks(), np.column_stack([table[v].to_numpy() for v in model.columns])))
 
+    @tidy
     def run(batches):
         entries, rows = cached.value
         at, rows = _Known(entries.to_pylist()), np.vstack([rows, np.zeros((1, size))])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexengine.llm.common import staged
+from lexengine.llm.common import staged, tidy
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -200,6 +200,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     plan = plan.hint("merge").join(mix.rows.select("source_no", "before", "size", "uid__").filter("size > 0"), ["source_no", "before"]).select("uid__", "size", "plan__")
     joined = own.join(plan.hint("merge"), "uid__").select("uid__", F.col(text_col).alias("t__"), "size", "plan__")
 
+    @tidy
     def cut(batches):
         import re
 

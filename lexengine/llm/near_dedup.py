@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexengine.llm import vectors as V
-from lexengine.llm.common import keyed, released, skew_join, staged, unstaged
+from lexengine.llm.common import keyed, released, skew_join, staged, tidy, unstaged
 from lexengine.llm.components import connected_components
 
 #: Coordinates that have lists, and those by which candidates are counted.
@@ -77,6 +77,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(size: int):
+    @tidy
     def run(batches):
         for b in batches:
             sets = list(shingles(b["text"], size))
@@ -98,6 +99,7 @@ def _sign(size: int):
 def _sets(size: int, short: bool = False):
     """Each text's set as bytes: items of 64 bits, or of 32 if short; these may stand there twice."""
 
+    @tidy
     def run(batches):
         for b in batches:
             sets = ((x >> np.uint64(32)).astype(np.uint32) if short else x for x in shingles(b["text"], size))
@@ -107,6 +109,7 @@ def _sets(size: int, short: bool = False):
 
 
 def _confirm(percent: int):
+    @tidy
     def run(batches):
         for b in batches:
             keep = []
@@ -127,6 +130,7 @@ def _bytes(column) -> np.ndarray:
 def _agreeing(least: int, similarity: float):
     """Pairs whose signatures agree in enough coordinates, by their lowest bytes: a few more than do in whole ones."""
 
+    @tidy
     def run(batches):
         for b in batches:
             n, m = b["na"].to_numpy(), b["nb"].to_numpy()
@@ -205,6 +209,7 @@ def _pairs(table, least: int, similarity: float):
 def _spanning(least: int, similarity: float):
     """Edges between components that hold together those which signatures tie."""
 
+    @tidy
     def run(batches):
         for table in _groups(batches):
             comp = table["component"].to_numpy()
@@ -230,6 +235,7 @@ def _spanning(least: int, similarity: float):
 def _similar(least: int, similarity: float, percent: int):
     """Pairs of different components whose shortened sets are similar."""
 
+    @tidy
     def run(batches):
         for table in _groups(batches):
             key, n = table["key"].to_numpy(), table["n"].to_numpy()

@@ -372,6 +372,26 @@ def test_bpe_workers_let_go_of_their_tables(spark, docs):
     assert spark.range(0, 16, numPartitions=16).mapInArrow(held, "id long").count() == 0
 
 
+def test_tidy_gives_memory_back(spark):
+    """What a task has freed is not kept by its worker's allocator."""
+    from lexengine.llm.common import tidy
+
+    def resident() -> int:
+        with open("/proc/self/smaps_rollup") as lines:
+            return next(int(x.split()[1]) // 1024 for x in lines if x.startswith("Anonymous:"))
+
+    def run(batches):
+        some = [bytes(b"x" * 60_000) for _ in range(2000)]  # some 115 MB
+        last = some[-1]
+        del some
+        yield from batches
+        del last
+
+    before = resident()
+    assert list(tidy(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40
+
+
 def test_token_totals(spark, docs, rows, tmp_path):
     totals = token_totals.TokenTotals(spark, f"file://{tmp_path}/t")
     assert totals.totals().count() == 0
