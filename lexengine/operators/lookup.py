@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexengine.staging import staged
+
 #: Longest common prefix that prefix lookups use as a key of the join; longer ones are compared afterwards.
 PREFIX = 4
+#: Hits and keys that form_of joins as one block, and about how many rows a task makes of such blocks.
+BLOCK, TASK_PAIRS = (512, 1024), 4_000_000
 
 
 def enabled(terms: DataFrame, dictionaries: DataFrame) -> DataFrame:
@@ -117,7 +121,27 @@ def wildcards(queries: DataFrame, text: str = "text") -> DataFrame:
 
 
 def form_of(hits: DataFrame, redirects: DataFrame, keys: DataFrame) -> DataFrame:
-    """The second pass: terms that hits (id) redirect to (id, form_of), looked up once more in the same dictionary."""
-    again = hits.join(redirects, "id").select("pos", F.col("id").alias("source_id"), "form_of", F.col("dictionary").alias("own"))
-    found = again.join(keys, (again["form_of"] == keys["key"]) & (again["own"] == keys["dictionary"]))
-    return found.filter(F.col("id") != F.col("source_id")).select("pos", "source_id", "form_of", "id").distinct()
+    """The second pass: terms that hits (id) redirect to (id, form_of), looked up once more in the same dictionary.
+
+    Each hit has a row for each term of its form, so that rows can grow with the square of the tables. They are made once,
+    block by block, and not shuffled after it: both sides are distinct before, and where an id has several dictionaries a
+    pair counts in the first that both share.
+    """
+    several = lambda c: F.when(F.size(c) > 1, F.col(c))
+    again = hits.join(redirects, "id").filter("form_of IS NOT NULL").groupBy("pos", F.col("id").alias("source_id"), "form_of").agg(F.collect_set("dictionary").alias("all"))
+    again = staged(again.select("pos", "source_id", "form_of", F.explode("all").alias("own"), several("all").alias("owns")))
+    forms = again.groupBy("form_of", "own").agg(F.count("*").alias("n_hits"))
+    found = keys.join(batch(forms), (F.col("key") == F.col("form_of")) & (F.col("dictionary") == F.col("own"))).groupBy("form_of", "id").agg(F.collect_set("dictionary").alias("all"))
+    found = staged(found.select("form_of", "id", F.explode("all").alias("own"), several("all").alias("shared")))
+    sizes = forms.join(found.groupBy("form_of", "own").agg(F.count("*").alias("n_found")), ["form_of", "own"])
+    pairs = sizes.agg(F.sum(F.col("n_hits") * F.col("n_found"))).first()[0] or 0
+    tasks = max(int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-pairs // TASK_PAIRS), 20_000))
+    blocks = batch(sizes.select("form_of", "own", F.ceil(F.col("n_hits") / BLOCK[0]).alias("h"), F.ceil(F.col("n_found") / BLOCK[1]).alias("f")))
+    on = ["form_of", "own", "hit_block", "found_block"]
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n))
+    left = again.join(blocks, ["form_of", "own"]).select(*again.columns, one("h", "pos", "source_id").alias("hit_block"), every("f").alias("found_block"))
+    right = found.join(blocks, ["form_of", "own"]).select(*found.columns, every("h").alias("hit_block"), one("f", "id").alias("found_block"))
+    both = left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).filter(F.col("id") != F.col("source_id"))
+    first = F.col("owns").isNull() | F.col("shared").isNull() | (F.array_min(F.array_intersect("owns", "shared")) == F.col("own"))
+    return both.filter(first).select("pos", "source_id", "form_of", "id")
