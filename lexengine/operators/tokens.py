@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,10 @@ from lexengine.functions.text import sentence_at
 from lexengine.staging import skew_join, staged
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of texts that a Python worker turns into rows at once.
+AT_ONCE = 1 << 19
+#: How many runs of letters are broadcast with their sums at most, and the longest of them with its language.
+CACHED, LONGEST_CACHED = 1 << 17, 48
 #: Terms with readings and places of their downstep.
 READINGS = [("打ち込む", "うちこむ", 3), ("食べ物", "たべもの", 2), ("中腰", "ちゅうごし", 0), ("日本語", "にほんご", 0), ("お手前", "おてまえ", 2), ("テスト", "テスト", 1)]
 
@@ -54,36 +59,70 @@ def segments(text: str, words: set[str], longest: int) -> list[tuple[int, int, b
     return out
 
 
+def _frames(rows: Iterator[tuple[int, tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """DataFrames of rows, each given with its characters: about AT_ONCE characters together, however many rows a batch has."""
+    some, size = [], 0
+    for n, row in rows:
+        some.append(row)
+        size += n + 64
+        if size >= AT_ONCE:
+            yield pd.DataFrame(some, columns=columns)
+            some, size = [], 0
+    if some:
+        yield pd.DataFrame(some, columns=columns)
+
+
 def _runs(batches):
     """mapInPandas body: gaps and runs of letters of each text, runs with how often they stand, and stand behind and before a gap."""
-    for b in batches:
-        rows = []
-        for key, i, lang, text in zip(b["key"], b["doc_id"], b["lang"], b["text"]):
-            text = text or ""
-            low = text.lower()
-            low = low if len(low) == len(text) else text
-            found: dict[str, list[int]] = {}
-            gaps = end = 0
-            for m in _LETTERS.finditer(low):
-                gaps += m.start() > end
-                end = m.end()
-                n = found.setdefault(m[0], [0, 0, 0])
-                n[0] += 1
-                n[1] += m.start() > 0
-                n[2] += end < len(low)
-            rows.append((key, i, lang, gaps + (end < len(low)), list(found), *([n[k] for n in found.values()] for k in range(3))))
-        yield pd.DataFrame(rows, columns=["key", "doc_id", "lang", "gaps", "run", "n", "behind", "before"])
+
+    def rows():
+        for b in batches:
+            for key, i, lang, text in zip(b["key"], b["doc_id"], b["lang"], b["text"]):
+                text = text or ""
+                low = text.lower()
+                low = low if len(low) == len(text) else text
+                found: dict[str, list[int]] = {}
+                gaps = end = 0
+                for m in _LETTERS.finditer(low):
+                    gaps += m.start() > end
+                    end = m.end()
+                    n = found.setdefault(m[0], [0, 0, 0])
+                    n[0] += 1
+                    n[1] += m.start() > 0
+                    n[2] += end < len(low)
+                yield len(text), (key, i, lang, gaps + (end < len(low)), list(found), *([n[k] for n in found.values()] for k in range(3)))
+
+    yield from _frames(rows(), ["key", "doc_id", "lang", "gaps", "run", "n", "behind", "before"])
 
 
 def _summed(batches):
     """mapInPandas body: of each run its known segments and their characters, all segments, and whether it starts and ends with an unknown one."""
-    for b in batches:
-        rows = []
-        for entry, words in zip(b["entry"], b["words"]):
-            run, words = entry.split("\n", 1)[1], set(words)
-            own = segments(run, words, max(map(len, words), default=0))
-            rows.append((entry, sum(k for *_, k in own), sum(e - s for s, e, k in own if k), len(own), int(not own[0][2]), int(not own[-1][2])))
-        yield pd.DataFrame(rows, columns=["entry", "known", "chars", "segments", "starts", "ends"])
+
+    def rows():
+        for b in batches:
+            for entry, words in zip(b["entry"], b["words"]):
+                run, words = entry.rsplit("\n", 1)[1], set(words)
+                own = segments(run, words, max(map(len, words), default=0))
+                yield len(entry), (entry, sum(k for *_, k in own), sum(e - s for s, e, k in own if k), len(own), int(not own[0][2]), int(not own[-1][2]))
+
+    yield from _frames(rows(), ["entry", "known", "chars", "segments", "starts", "ends"])
+
+
+def _run(entry: str) -> Column:
+    """What stands behind the language of an entry; words and runs are letters only."""
+    return F.substring_index(entry, "\n", -1)
+
+
+def _frequent(counts: DataFrame, most: int) -> Column:
+    """A condition on n, how often a row counts, that at most so many rows of counts fulfil."""
+    part = F.floor(F.log2(F.col("n").cast("double")) * 8 + 1e-9)
+    least, total = None, 0
+    for k, n in sorted(((r.part, r["count"]) for r in counts.groupBy(part.alias("part")).count().collect()), reverse=True):
+        total += n
+        if total > most:
+            break
+        least = k
+    return F.lit(False) if least is None else part >= least
 
 
 def tokenized(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -96,23 +135,33 @@ def tokenized(docs: DataFrame, known: DataFrame) -> DataFrame:
     longest = known.agg(F.max("size")).first()[0] or 0
     shape = "key long, doc_id long, lang string, gaps long, run array<string>, n array<long>, behind array<long>, before array<long>"
     own = staged(docs.select("doc_id", "lang", "text").withColumn("key", F.monotonically_increasing_id()).mapInPandas(_runs, shape))
-    each = own.select("key", "lang", F.explode(F.arrays_zip("run", "n", "behind", "before")).alias("r"))
-    each = each.select("key", _entry(F.col("lang"), F.col("r.run")).alias("entry"), F.col("lang"), "r.*")
-    distinct = staged(each.groupBy("entry").agg(F.first("lang").alias("lang"), F.first("run").alias("run")))
-    whole = distinct.join(known, "entry", "left_semi").select("entry", F.array("run").alias("words"))
-    rest = distinct.join(known, "entry", "left_anti")
-    at = rest.select("entry", "lang", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
+    distinct = own.select("lang", F.explode("run").alias("run")).groupBy(_entry(F.col("lang"), F.col("run")).alias("entry")).agg(F.count("*").alias("n"))
+    distinct = distinct.join(known.select("entry", F.lit(True).alias("known")), "entry", "left")
+    distinct = staged(distinct.withColumn("id", F.monotonically_increasing_id()))
+    whole = distinct.filter("known").select("entry", F.array(_run("entry")).alias("words"))
+    rest = distinct.filter("known IS NULL").select("id", "entry", _run("entry").alias("run"))
+    at = rest.select("id", "entry", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
     size = F.least(F.length("run") - F.col("i") + 1, F.lit(longest))
-    parts = at.filter(size > 0).select("entry", "lang", "run", "i", F.explode(F.sequence(F.lit(1), size)).alias("size"))
-    parts = parts.select(F.col("entry").alias("of"), F.substring("run", F.col("i"), F.col("size")).alias("word"), "lang")
-    parts = parts.select("of", "word", _entry(F.col("lang"), F.col("word")).alias("entry"))
-    parts = skew_join(parts, known.select("entry"), ["entry"]).groupBy("of").agg(F.collect_set("word").alias("words"))
-    rest = rest.join(parts.withColumnRenamed("of", "entry"), "entry", "left").select("entry", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    parts = at.filter(size > 0).select("id", "entry", "run", "i", F.explode(F.sequence(F.lit(1), size)).alias("size"))
+    prefix = F.expr("left(entry, length(entry) - length(run))")
+    word = F.substring("run", F.col("i"), F.col("size"))
+    # a part of one character counts only if it is Japanese, and no such one stands before U+3000
+    parts = parts.filter((F.col("size") > 1) | (word >= "\u3000")).select("id", F.concat(prefix, word).alias("entry"))
+    parts = skew_join(parts, known.select("entry"), ["entry"]).groupBy("id").agg(F.collect_set(_run("entry")).alias("words"))
+    rest = rest.join(parts, "id", "left").select("entry", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
     sums = staged(whole.unionByName(rest).mapInPandas(_summed, "entry string, known long, chars long, segments long, starts long, ends long"))
+    each = own.select("key", "lang", F.explode(F.arrays_zip("run", "n", "behind", "before")).alias("r"))
+    each = each.select("key", _entry(F.col("lang"), F.col("r.run")).alias("entry"), "r.n", "r.behind", "r.before")
     n = F.col("n")
-    of = skew_join(each.drop("lang", "run"), sums, ["entry"]).groupBy("key").agg(
-        F.sum(n * F.col("segments") - F.col("behind") * F.col("starts") - F.col("before") * F.col("ends")).alias("s"), F.sum(n * F.col("known")).alias("k"), F.sum(n * F.col("chars")).alias("c")
-    )
+    counted = lambda rows: rows.select(
+        "key", (n * F.col("segments") - F.col("behind") * F.col("starts") - F.col("before") * F.col("ends")).alias("s"), (n * F.col("known")).alias("k"), (n * F.col("chars")).alias("c")
+    ).groupBy("key").agg(*(F.sum(c).alias(c) for c in "skc"))
+    # sums of the most frequent runs, which most places have, are broadcast; the others' places are shuffled
+    often = sums.join(distinct.filter(_frequent(distinct.filter(F.length("entry") <= LONGEST_CACHED), CACHED) & (F.length("entry") <= LONGEST_CACHED)).select("entry"), "entry", "left_semi")
+    often = staged(often)
+    near = each.join(F.broadcast(often), "entry")
+    of = counted(near).unionByName(counted(skew_join(each.join(F.broadcast(often.select("entry")), "entry", "left_anti"), sums, ["entry"])))
+    of = of.groupBy("key").agg(*(F.sum(c).alias(c) for c in "skc"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     return own.select("key", "doc_id", "gaps").join(of, "key", "left").select("doc_id", (F.col("gaps") + zero("s")).alias("n_segments"), zero("k").alias("n_known"), zero("c").alias("known_chars"))
 

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows that Python workers get at once while a table is staged, so that they don't hold a whole partition's texts.
+BATCH_ROWS = 256
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def staged(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the folder that spark.checkpoint.dir names; it goes when the session's JVM ends.
@@ -22,7 +26,12 @@ def staged(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lexengine-"))
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
