@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexengine.functions import japanese as J
 from lexengine.functions.text import sentence_at
+from lexengine.operators.lookup import batch
 from lexengine.staging import skew_join, staged
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -192,22 +193,25 @@ def furigana_table(terms: DataFrame) -> DataFrame:
     return terms.mapInPandas(run, "pos int, term string, part int, text string, reading string, morae int, category string")
 
 
-def contained(notes: DataFrame, texts: DataFrame, words: int = 4) -> DataFrame:
+def contained(notes: DataFrame, texts: DataFrame) -> DataFrame:
     """item_id, known: whether a note's text stands in any of texts.
 
-    Notes and texts meet by runs of so many words, the note's being its second to fifth, whose edges a text can't change;
-    notes of three words have a run of one; those of one or two words, and empty ones, have none.
+    Words of a note but for the first and the last have edges that a text can't change. Notes and texts meet by the longest
+    of these, and are compared there word by word; notes of one or two words, and empty ones, have none.
     """
     split = lambda c: F.split(F.btrim(c), r"\s+")
-    own = notes.withColumn("w", split(F.col("text"))).withColumn("n", F.greatest(F.least(F.size("w") - 2, F.lit(words)), F.lit(0)))
-    own = own.select("item_id", F.col("text").alias("note"), "n", F.array_join(F.slice("w", F.lit(2), F.col("n")), " ").alias("run"))
-    runs = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, n), " ")))
-    )
-    each = texts.select("text", split(F.col("text")).alias("w")).select("text", F.explode(F.array_distinct(runs)).alias("run"))
-    hits = each.join(own.filter("n > 0").select("run", "note", "item_id"), "run").filter(F.col("text").contains(F.col("note")))
-    # notes without a run are a query set that is looked for in every text, block by block if it is not small
-    short = own.filter("n = 0").select("note", "item_id")
-    met = short.select("note").distinct().join(texts.select("text"), F.contains("text", "note")).select("note").distinct()
-    found = hits.select("item_id").unionByName(short.join(met, "note").select("item_id")).distinct().withColumn("known", F.lit(True))
-    return notes.select("item_id").distinct().join(found, "item_id", "left").select("item_id", F.coalesce("known", F.lit(False)).alias("known"))
+    own = notes.select(F.col("text").alias("note")).filter("note IS NOT NULL").distinct().withColumn("w", split(F.col("note"))).withColumn("m", F.size("w"))
+    inner = F.slice("w", F.lit(2), F.greatest(F.col("m") - 2, F.lit(0)))
+    long = own.filter("m > 2").withColumn("at", -F.array_max(F.transform(inner, lambda x, i: F.struct(F.length(x).alias("size"), (-i).alias("i")))).getField("i") + 1)
+    long = long.select("note", "m", "at", F.get("w", "at").alias("word"), F.get("w", F.lit(0)).alias("first"), F.get("w", F.col("m") - 1).alias("last"), F.array_join(inner, " ").alias("inner"))
+    each = texts.select("text", split(F.col("text")).alias("w")).select("text", "w", F.posexplode("w").alias("pos", "word"))
+    start = F.col("pos") - F.col("at")
+    meets = (start >= 0) & (start + F.col("m") <= F.size("w"))
+    # get() is null outside of a text, slice() would fail before its start
+    same = F.get("w", start).endswith(F.col("first")) & F.get("w", start + F.col("m") - 1).startswith(F.col("last"))
+    same &= F.array_join(F.slice("w", F.greatest(start + 2, F.lit(1)), F.col("m") - 2), " ") == F.col("inner")
+    hits = each.join(batch(long), "word").filter(meets & same & F.col("text").contains(F.col("note"))).select("note")
+    # notes without such a word are a query set that is looked for in every text, block by block if it is not small
+    met = own.filter("m <= 2").select("note").join(texts.select("text"), F.contains("text", "note")).select("note")
+    found = hits.unionByName(met).distinct().withColumn("known", F.lit(True))
+    return notes.join(found, F.col("text") == F.col("note"), "left").select("item_id", F.coalesce("known", F.lit(False)).alias("known")).distinct()

@@ -1,5 +1,7 @@
 """Memory of the Python workers that tokenize texts."""
 
+import random
+
 import pandas as pd
 
 from lexengine.operators import tokens
@@ -33,3 +35,26 @@ def test_languages_of_any_characters(spark):
     for (i, *found), (_, lang, text) in zip(out, rows):
         own = tokens.segments(text, words if lang != "c" else set(), 20)
         assert found == [len(own), sum(k for *_, k in own), sum(e - s for s, e, k in own if k)], text
+
+
+def test_notes_meet_texts_at_any_edge(spark):
+    """Whether a note stands in a text is what Python's in says, for white space of every kind and repeated words; one id may have several notes."""
+    rng = random.Random(8)
+
+    def words(n):
+        return "".join(rng.choice(["a", "ab", "abc", "bca", "ß"]) + rng.choice([" ", " ", " ", "\n", "  ", "\t "]) for _ in range(n))
+
+    texts = [rng.choice(["", " ", "\n"]) + words(rng.randint(0, 40)) for _ in range(60)] + [None]
+    notes = [(i // 2, t[(a := rng.randint(0, len(t))) : a + rng.randint(0, 25)] + rng.choice(["", "", "b", " "])) for i in range(400) for t in [rng.choice(texts[:-1])]]
+    notes += [(1000, None), (None, "a"), (1001, "abc abc abc abc")]
+    out = tokens.contained(spark.createDataFrame(notes, "item_id long, text string"), spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    expected = {(i, n is not None and any(n in t for t in texts if t is not None)) for i, n in notes}
+    rows = [tuple(r) for r in out.collect()]
+    assert set(rows) == expected and len(rows) == len(expected) and {k for _, k in expected} == {True, False}
+
+
+def test_each_word_of_a_text_is_a_row_at_most(spark):
+    """Texts meet notes by their words, not by all runs of one to four of them."""
+    notes, texts = spark.createDataFrame([(1, "x abc def ghi jkl y")], "item_id long, text string"), spark.createDataFrame([("one two three four five six",)], "text string")
+    plan = tokens.contained(notes, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan and "array_distinct" not in plan
