@@ -17,6 +17,8 @@ from lexengine.staging import skew_join, staged
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Characters of texts that a Python worker turns into rows at once.
 AT_ONCE = 1 << 19
+#: Bits that tell most parts of runs which are no words, before they are shuffled; 64 of them are a row.
+BITS = 1 << 24
 #: How many runs of letters are broadcast with their sums at most, and the longest of them with its language.
 CACHED, LONGEST_CACHED = 1 << 17, 48
 #: Terms with readings and places of their downstep.
@@ -126,6 +128,14 @@ def _frequent(counts: DataFrame, most: int) -> Column:
     return F.lit(False) if least is None else part >= least
 
 
+def _likely(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """parts without most of those that are not known: entries whose bit no known entry has, of a fixed number of bits that are broadcast."""
+    at = F.pmod(F.xxhash64("entry"), F.lit(BITS))
+    bits = known.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
+    rows = parts.withColumn("at", at).withColumn("block", F.shiftright("at", 6)).join(F.broadcast(bits), "block")
+    return rows.filter(F.getbit("bits", (F.col("at") % 64).cast("int")) == 1).select(*parts.columns)
+
+
 def tokenized(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, n_segments, n_known, known_chars of each text (doc_id, lang, text), by the words of vocabulary().
 
@@ -148,7 +158,7 @@ def tokenized(docs: DataFrame, known: DataFrame) -> DataFrame:
     word = F.substring("run", F.col("i"), F.col("size"))
     # a part of one character counts only if it is Japanese, and no such one stands before U+3000
     parts = parts.filter((F.col("size") > 1) | (word >= "\u3000")).select("id", F.concat(prefix, word).alias("entry"))
-    parts = skew_join(parts, known.select("entry"), ["entry"]).groupBy("id").agg(F.collect_set(_run("entry")).alias("words"))
+    parts = skew_join(_likely(parts, known), known.select("entry"), ["entry"]).groupBy("id").agg(F.collect_set(_run("entry")).alias("words"))
     rest = rest.join(parts, "id", "left").select("entry", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
     sums = staged(whole.unionByName(rest).mapInPandas(_summed, "entry string, known long, chars long, segments long, starts long, ends long"))
     each = own.select("key", "lang", F.explode(F.arrays_zip("run", "n", "behind", "before")).alias("r"))

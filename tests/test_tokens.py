@@ -58,3 +58,10 @@ def test_each_word_of_a_text_is_a_row_at_most(spark):
     notes, texts = spark.createDataFrame([(1, "x abc def ghi jkl y")], "item_id long, text string"), spark.createDataFrame([("one two three four five six",)], "text string")
     plan = tokens.contained(notes, texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan and "array_distinct" not in plan
+
+
+def test_few_unknown_parts_are_shuffled(spark):
+    """Known entries all stay; of the others about as many as there are bits set."""
+    known = spark.range(2000).selectExpr("concat('+en\n', id) AS entry")
+    out = {r.entry for r in tokens._likely(spark.range(20_000).selectExpr("id", "concat('+en\n', id) AS entry"), known).select("entry").collect()}
+    assert {f"+en\n{i}" for i in range(2000)} <= out and len(out) < 2200
